@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import distinct, percentiles, top_n
+from ..operators import small_files
+from ..scratch import written
+from . import distinct, mixing, packing, percentiles, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,8 +115,6 @@ WHERE ss_sold_date_sk IS NOT NULL AND ss_store_sk IS NOT NULL AND ss_customer_sk
 @query(" UNION ALL ".join((_BY.format("day", "ss_sold_date_sk", "CAST(NULL AS BIGINT)"), _BY.format("store", "CAST(NULL AS BIGINT)", "ss_store_sk"), _BY.format("day_store", "ss_sold_date_sk", "ss_store_sk"))))
 def p3_days_stores_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Counts per day, per store and per pair; those of days and stores by union of the pairs' runs."""
-    from ..scratch import written
-
     pairs = written(_sales_runs(spark, d), "distinct-runs")
     none, out = F.lit(None).cast("bigint"), None
     for level, by in (("day", ["ss_sold_date_sk"]), ("store", ["ss_store_sk"]), ("day_store", ["ss_sold_date_sk", "ss_store_sk"])):
@@ -122,3 +122,63 @@ def p3_days_stores_pairs(spark: SparkSession, d: str) -> DataFrame:
         c = c.select(F.lit(level).alias("level"), *[(F.col(k) if k in by else none).alias(a) for k, a in (("ss_sold_date_sk", "day"), ("ss_store_sk", "store"))], "distinct_n")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# --- 5: containers -----------------------------------------------------------------------------------------------------
+CAPACITY = 134_217_728
+_FILES = r"""
+WITH r AS (
+  SELECT write_id, CASE WHEN size_in_bytes > 0 THEN size_in_bytes END AS b,
+    rtrim(regexp_replace(regexp_replace(lower(trim(table_path)), '^file:/*', '/'), '/+', '/', 'g'), '/') AS t,
+    trim(regexp_replace(regexp_replace(lower(replace(trim(partition_id), '%3D', '=')), '^\./', ''), '/+', '/', 'g'), '/') AS p,
+    regexp_replace(trim(regexp_replace(trim(lower(part_name)), '^\./', ''), '/'), '^.*/', '') AS n
+  FROM mergetree_delta_columnar_write),
+f AS (SELECT t, p, n, min(write_id) AS write_id, max(b) AS bytes FROM r GROUP BY 1, 2, 3)
+"""
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    f = small_files.files(table(spark, d, "mergetree_delta_columnar_write"))
+    return packing.pack(f.where("bytes IS NOT NULL"), ["table", "partition"], "write_id", "bytes", CAPACITY)
+
+
+@query(_FILES + "SELECT write_id, CAST(unnest(range(1, CAST(ceil(bytes / 134217728.0) AS BIGINT) + 1)) AS BIGINT) AS piece_no FROM f WHERE bytes > 134217728")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of files larger than a container."""
+    return _packed(spark, d).where("pieces > 1").select("write_id", "piece_no")
+
+
+@query(_FILES + "SELECT t AS table_path, p AS partition_id, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM f WHERE bytes > 0 GROUP BY 1, 2")
+def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Packed files and bytes per partition: every file is packed once and whole."""
+    x = _packed(spark, d).groupBy("table", "partition", "write_id").agg(F.sum("piece_size").alias("b"))
+    return x.groupBy(F.col("table").alias("table_path"), F.col("partition").alias("partition_id")).agg(F.count(F.lit(1)).alias("files"), F.sum("b").alias("bytes"))
+
+
+@query()
+def p5_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per partition: containers used, the least number possible, and the space filled."""
+    c = _packed(spark, d).groupBy("table", "partition", "container").agg(F.sum("piece_size").alias("b"))
+    g = c.groupBy("table", "partition").agg(F.count(F.lit(1)).alias("containers"), F.sum("b").alias("bytes"), F.max("b").alias("fullest"))
+    return g.withColumn("least", F.ceil(F.col("bytes") / CAPACITY)).withColumn("filled", F.col("bytes") / (F.col("containers") * F.lit(CAPACITY)))
+
+
+# --- 7: mixtures -------------------------------------------------------------------------------------------------------
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Passes over each source."""
+    targets = table(spark, d, "mix_targets")
+    counted = mixing.count_documents(table(spark, d, "documents"), targets)
+    return mixing.plan(counted, targets).select("source", "n_passes", "falls_short")
+
+
+@query()
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the selected documents actually reach."""
+    targets = table(spark, d, "mix_targets")
+    counted = mixing.count_documents(table(spark, d, "documents"), targets)
+    planned = mixing.plan(counted, targets)
+    mix = mixing.select(counted, planned)
+    got = mix.groupBy("key").agg(F.sum(F.col("tokens") * F.col("passes")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("passes").alias("most_passes"))
+    got = planned.join(got, "key", "left").fillna(0, ["tokens", "documents", "most_passes"])
+    return got.select("source", "target_weight", "goal", "tokens", (F.col("tokens") / F.sum("tokens").over(W.partitionBy())).alias("share"), "documents", "most_passes", "falls_short")
