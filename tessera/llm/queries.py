@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import small_files
 from ..scratch import written
-from . import distinct, mixing, packing, percentiles, top_n
+from . import distinct, leakage, mixing, packing, percentiles, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,6 +163,20 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("least", F.ceil(F.col("bytes") / CAPACITY)).withColumn("filled", F.col("bytes") / (F.col("containers") * F.lit(CAPACITY)))
 
 
+# --- 6: leaked test items ----------------------------------------------------------------------------------------------
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a test item."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query()
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked: documents, how much of the passage at most, and how often with the answer."""
+    x = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return x.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.max("covered"), 3).alias("most_covered"), F.count_if("answer_found").alias("with_answer"))
+
+
 # --- 7: mixtures -------------------------------------------------------------------------------------------------------
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
