@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import small_files
 from ..scratch import written
-from . import distinct, leakage, mixing, packing, percentiles, top_n
+from . import distinct, encoding, leakage, mixing, packing, percentiles, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,3 +196,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     got = mix.groupBy("key").agg(F.sum(F.col("tokens") * F.col("passes")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("passes").alias("most_passes"))
     got = planned.join(got, "key", "left").fillna(0, ["tokens", "documents", "most_passes"])
     return got.select("source", "target_weight", "goal", "tokens", (F.col("tokens") / F.sum("tokens").over(W.partitionBy())).alias("share"), "documents", "most_passes", "falls_short")
+
+
+# --- 8: wrong encodings ------------------------------------------------------------------------------------------------
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with wrongly decoded passages."""
+    return encoding.repaired(table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
+@query()
+def p8_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Those documents with the text as far as it can be restored."""
+    return encoding.repaired(table(spark, d, "documents").select("doc_id", "text"))
