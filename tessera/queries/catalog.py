@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import benchmarks, functions, operators, relational, rewrites, storage  # noqa: F401
+from . import benchmarks, functions, operators, relational, rewrites, sources, storage  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
