@@ -55,10 +55,17 @@ def _hinted(hint: str):  # noqa: ANN202
     return run
 
 
-for _hint in ("shuffle_hash", "merge", "shuffle_replicate_nl"):
+for _hint in ("shuffle_hash", "merge"):
     query(_HINTED.replace("{", "").replace("}", ""), f"join_hint_{_hint}")(_hinted(_hint))
 
 
+@query("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey AND n_nationkey > r_regionkey GROUP BY 1")
+def join_hint_shuffle_replicate_nl(spark: SparkSession, d: str) -> DataFrame:
+    """A Cartesian product with a condition, of two small fixed tables."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region").hint("shuffle_replicate_nl")
+    return n.join(r, (n.n_regionkey == r.r_regionkey) & (n.n_nationkey > r.r_regionkey)).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def join_checked_broadcast(spark: SparkSession, d: str) -> DataFrame:
     """The small side is broadcast after its size was checked."""

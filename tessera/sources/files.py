@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Options under which the text formats give back what was written (nulls apart from empty strings).
 _ROUND_TRIP = {
-    "csv": {"header": "true", "nullValue": "\\N", "emptyValue": "", "quote": '"', "escape": '"', "multiLine": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"},
+    "csv": {"header": "true", "nullValue": "\\N", "quote": '"', "escape": '"', "multiLine": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"},
     "json": {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"},
     "xml": {"rowTag": "row", "rootTag": "rows"},
 }

@@ -111,10 +111,10 @@ class Table:
         return self._commit(self._write(df, cluster_by), df.schema, cluster_by, "create")
 
     def insert(self, df: DataFrame, overwrite: bool = False) -> int:
-        """Add rows (columns by name), or replace all."""
+        """Add rows (columns by name; missing ones are null), or replace all."""
         e = self._entry()
         schema = T.StructType.fromJson(e["schema"])
-        new = self._write(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), e["cluster_by"])
+        new = self._write(df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]), e["cluster_by"])
         return self._commit(new if overwrite else [*e["files"], *new], schema, e["cluster_by"], "overwrite" if overwrite else "insert")
 
     def _replace(self, e: dict, touched: Sequence[str], df: DataFrame, what: str) -> int:
