@@ -40,6 +40,8 @@ _FEW = frozenset("œŒšŠžŽŸčČćĆđĐłŁńŃęĘąĄśŚźŹżŻěĚřŘ
 _ENTITY = re.compile(r"&#?[A-Za-z0-9]+;")
 # What UTF-8 becomes: two signs or more in a row, or one of an East Asian script.
 _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
+# Signs that every longer Japanese or Chinese line holds some of.
+_USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，")
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
 _IN_WORD = re.compile("[A-Za-z][^\x00-\xbf\u2000-\u22ff]|[^\x00-\xbf\u2000-\u22ff][A-Za-z]|[a-z][\xb1-\xbf\u2000-\u206f\u207f\u2200-\u22ff][a-z]")
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«", '"': '"', "'": "'", "「": "」", "『": "』", "‹": "›"}
@@ -217,7 +219,9 @@ def _lines(text: str) -> tuple[str, int]:
                     raw = bytes(ord(c) if c < "\x80" else table[c] for c in line)
                 except KeyError:
                     continue
-                new = next((n for n in (_decoded(raw, i) for i in INTENDED) if n and _gain(line, n) and sum("぀" <= c < "ꀀ" for c in n) * 2 >= len(n)), None)
+                if _decoded(raw, "utf-8") is not None:
+                    break  # a layer of UTF-8, undone run by run
+                new = next((n for n in (_decoded(raw, i) for i in INTENDED) if n and _gain(line, n) and sum("぀" <= c < "ꀀ" for c in n) * 2 >= len(n) and not _USUAL.isdisjoint(n)), None)
                 if new:
                     line, fixed = new, fixed + 1
                     break
@@ -239,8 +243,10 @@ def repair(text: str) -> tuple[str, int, int]:
         return text, 0, 0
     fixed = 0
     for _ in range(MAX_LAYERS):
-        text, n = _runs(text)
-        if not n and (_LOST.search(text) or _IN_WORD.search(text)):
+        text, n = _lines(text) if _LOST.search(text) else (text, 0)
+        if not n:
+            text, n = _runs(text)
+        if not n and _IN_WORD.search(text):
             text, n = _lines(text)
             if not n:
                 text, n = _legacy(text)

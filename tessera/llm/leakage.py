@@ -171,7 +171,7 @@ def candidates(ix: Index, ids: np.ndarray, ends: np.ndarray) -> dict[tuple[int,
     heavy = np.flatnonzero(~light[ids])
     different = np.unique(part[heavy].astype(np.int64) * len(light) + ids[heavy])
     k, of = _spread(ix.block_starts, different % len(light))
-    bound = np.bincount((different // len(light))[of] * blocks + ix.blocks[k], ix.block_impacts[k], n * blocks).reshape(n, blocks)
+    bound = np.bincount((different // len(light))[of] * blocks + ix.blocks[k], ix.block_impacts[k], n * blocks).astype(float).reshape(n, blocks)
     last = np.zeros(n, bool)
     last[first + parts - 1] = True
     both = bound.copy()  # a passage is two halves in a row

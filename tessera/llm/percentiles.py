@@ -31,6 +31,8 @@ def _common_type(types: list[T.DataType]) -> T.DataType:
     """One type that holds every measure exactly (double if any is a float)."""
     if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in types):
         return T.DoubleType()
+    if all(isinstance(t, T.IntegralType) for t in types):
+        return T.LongType()
     whole, scale = 1, 0
     for t in types:
         digits = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}.get(t.simpleString())
