@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from .registry import sql
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns
+from .registry import query, sql, table
 
 # --- arithmetic and logic ----------------------------------------------------------------------------------------------
 sql("fn_arithmetic", """
@@ -142,3 +146,33 @@ sql("fn_at_least_non_nulls", "SELECT ss_ticket_number, ss_item_sk, size(filter(a
 sql("fn_xml_csv", "SELECT n_nationkey, xpath_int(concat('<a><b>', n_nationkey, '</b></a>'), 'a/b') AS x, from_csv(concat(n_nationkey, ',', n_name), 'k INT, n STRING').n AS c, to_csv(struct(n_nationkey, n_name)) AS t FROM {nation}",
     "SELECT n_nationkey, n_nationkey AS x, n_name AS c, n_nationkey || ',' || n_name AS t FROM {nation}")
 sql("fn_raise_error_guarded", "SELECT n_nationkey, CASE WHEN n_nationkey < 0 THEN raise_error('negative') ELSE n_name END AS n FROM {nation}", "SELECT n_nationkey, n_name AS n FROM {nation}")
+sql("fn_rare", """
+SELECT n_nationkey, xpath_string(x, 'a/b') AS xs, xpath_boolean(x, 'a/b') AS xb, xpath_double(x, 'a/b') AS xd, xpath_float(x, 'a/b') AS xf, xpath_long(x, 'a/b') AS xl, xpath_short(x, 'a/b') AS xh, xpath_number(x, 'a/b') AS xn, xpath(x, 'a/b/text()') AS xa,
+ schema_of_csv('1,a') AS sc, schema_of_json('[1, 2]') AS sj, reflect('java.lang.Math', 'abs', n_nationkey) AS rf, java_method('java.lang.Math', 'max', n_nationkey, 3) AS jm, CAST(make_interval(0, 0, 0, 1) AS STRING) AS mi,
+ map_from_entries(array(struct('a', n_regionkey)))['a'] AS me FROM (SELECT *, concat('<a><b>', n_nationkey, '</b></a>') AS x FROM {nation}) t""", None)
+sql("fn_rare_aggregates", "SELECT approx_percentile(l_quantity, 0.5) AS p, length(count_min_sketch(l_partkey, 0.1D, 0.9D, 1)) > 0 AS c, any_value(l_linenumber) > 0 AS a, try_avg(l_quantity) > 0 AS ta, try_sum(l_quantity) > 0 AS ts FROM {lineitem}", None)
+sql("gen_inline_outer", "SELECT k, a, b FROM (SELECT n_nationkey AS k, IF(n_nationkey < 3, array(struct(n_name AS a, 1 AS b)), NULL) AS s FROM {nation}) t LATERAL VIEW OUTER inline(s) x", "SELECT n_nationkey AS k, CASE WHEN n_nationkey < 3 THEN n_name END AS a, CASE WHEN n_nationkey < 3 THEN 1 END AS b FROM {nation}")
+sql("fn_decimal_overflow", "SELECT r_regionkey, try_cast(CAST('99999999999999999999999999999999999999' AS DECIMAL(38,0)) AS DECIMAL(10,0)) AS o, try_cast('x' AS INT) AS t, try_add(9223372036854775807L, CAST(r_regionkey + 1 AS BIGINT)) AS a FROM {region}",
+    "SELECT r_regionkey, CAST(NULL AS DECIMAL(10,0)) AS o, CAST(NULL AS INT) AS t, CAST(NULL AS BIGINT) AS a FROM {region}")
+
+
+@query("""
+SELECT ss_ticket_number, ss_item_sk, (ss_quantity IS NOT NULL)::INT + (ss_promo_sk IS NOT NULL)::INT + (ss_store_sk IS NOT NULL)::INT >= 2 AS two, CAST(ss_sales_price * 100 AS BIGINT) AS digits, ss_sales_price AS back FROM store_sales""")
+def fn_internal_expressions(spark: SparkSession, d: str) -> DataFrame:
+    """Non-null counts, digits of decimals and back."""
+    x = table(spark, d, "store_sales").select("ss_ticket_number", "ss_item_sk", columns.at_least_n_non_nulls(2, "ss_quantity", "ss_promo_sk", "ss_store_sk").alias("two"), columns.unscaled_value("ss_sales_price", 2).alias("digits"))
+    return x.withColumn("back", columns.make_decimal("digits", 7, 2))
+
+
+@query("SELECT n_regionkey, n_name FROM nation, range(25) r(i) WHERE i < n_nationkey % 3")
+def gen_replicate_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows repeated by a column."""
+    x = table(spark, d, "nation").select("n_regionkey", "n_name", (F.col("n_nationkey") % 3).alias("times"))
+    return columns.replicate_rows(x, "times")
+
+
+@query("SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY 1")
+def fn_array_struct_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A field of an array of structs."""
+    x = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("s"))
+    return x.select("n_regionkey", columns.array_fields("s", "n_name").alias("names"))

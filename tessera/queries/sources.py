@@ -77,6 +77,27 @@ def io_create_insert_sql(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("tessera_sql_table")
 
 
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1 UNION ALL SELECT '3-MEDIUM', 1")
+def io_dynamic_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """Overwriting only the partitions that are written."""
+    path = new_path(spark, "dynamic")
+    o = table(spark, d, "orders").where("o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')").select("o_orderkey", "o_orderpriority")
+    o.write.partitionBy("o_orderpriority").parquet(path)
+    one = o.where("o_orderpriority = '3-MEDIUM'").agg(F.min("o_orderkey").alias("o_orderkey"), F.first("o_orderpriority").alias("o_orderpriority"))
+    one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("o_orderpriority").parquet(path)
+    return spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s_state, count(*) AS n FROM store_sales JOIN store ON ss_store_sk = s_store_sk WHERE s_number_employees > 250 GROUP BY 1")
+def io_dynamic_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """A join whose filtered side prunes the other's partitions at run time."""
+    path = new_path(spark, "pruned")
+    s = table(spark, d, "store_sales").select("ss_item_sk", "ss_store_sk")
+    files.save(s.where("ss_store_sk IS NOT NULL"), path, partition_by=["ss_store_sk"])
+    big = table(spark, d, "store").where("s_number_employees > 250")
+    return files.load(spark, path, schema="ss_item_sk bigint, ss_store_sk bigint").join(big, F.col("ss_store_sk") == F.col("s_store_sk")).groupBy("s_state").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- changes -----------------------------------------------------------------------------------------------------------
 def _table(spark: SparkSession, d: str) -> tables.Table:
     t = tables.Table(spark, new_path(spark, "customers"))

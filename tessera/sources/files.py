@@ -50,9 +50,9 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructT
 
 
 def with_file_facts(df: DataFrame) -> DataFrame:
-    """A file scan's rows with the file's name, size, block start and row index."""
+    """A file scan's rows with the file's name, size, block and row index."""
     m = F.col("_metadata")
-    return df.select("*", m["file_name"].alias("file_name"), m["file_size"].alias("file_size"), m["file_block_start"].alias("block_start"), m["row_index"].alias("row_index"), F.input_file_name().alias("file_path"))
+    return df.select("*", m["file_name"].alias("file_name"), m["file_size"].alias("file_size"), m["file_block_start"].alias("block_start"), m["row_index"].alias("row_index"), F.input_file_name().alias("file_path"), F.input_file_block_length().alias("block_length"))
 
 
 def cache_data(df: DataFrame, columns: Sequence[str] = (), where: str | None = None, eager: bool = True) -> DataFrame:
