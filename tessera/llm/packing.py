@@ -6,7 +6,8 @@ group, batches are formed bucket by bucket, from the largest sizes to the smalle
 buckets left open (tightest fit first), then fill batches of their own up to the capacity. An item is only cut if it exceeds
 the capacity, into the least number of pieces: all but the last fill a container each, the last is packed like an item.
 
-A group of more than ``SHARD_ITEMS`` items is packed in parts of about that many, at a cost of less than one container a part.
+Small groups that then take more containers than the sum of their sizes needs are filled anew, each container by the best of
+all subsets. A group of more than ``SHARD_ITEMS`` items is packed in parts of about that many, at a cost of less than one container a part.
 
 Defined cases: items without a positive size, or with a null size or identifier, are not packed; null groups are a group;
 items of equal size are taken in the order of their identifiers; an empty table gives no row.
@@ -29,6 +30,8 @@ from ..operators.small_files import sharded
 BINS = 16
 BUCKETS = 16
 SHARD_ITEMS = 100_000
+#: Items of a group up to which better fillings are searched for among all subsets.
+EXACT_ITEMS = 36
 
 
 def histogram(items: DataFrame, size: str) -> pd.DataFrame:
@@ -93,6 +96,44 @@ def fill(sizes: np.ndarray, bounds: Sequence[int], capacity: int) -> np.ndarray:
     return out
 
 
+def _sums(sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of all subsets, ascending, and which members each has (a bit each)."""
+    total, members = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for k, x in enumerate(sizes):
+        total, members = np.concatenate([total, total + x]), np.concatenate([members, members | 1 << k])
+        order = np.argsort(total, kind="stable")
+        total, members = total[order], members[order]
+    return total, members
+
+
+def fullest(sizes: Sequence[int], space: int) -> list[int]:
+    """Which sizes fill the space best: all subsets of one half are matched with those of the other."""
+    half = len(sizes) // 2
+    (a, in_a), (b, in_b) = _sums(sizes[:half]), _sums(sizes[half:])
+    fits = a <= space
+    a, in_a = a[fits], in_a[fits]
+    at = np.searchsorted(b, space - a, "right") - 1
+    k = int((a + b[at]).argmax())
+    return [i for i in range(half) if in_a[k] >> i & 1] + [half + i for i in range(len(sizes) - half) if in_b[at[k]] >> i & 1]
+
+
+def tighten(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> np.ndarray:
+    """Container numbers for a group of at most EXACT_ITEMS sizes in descending order: if ``numbers`` take more containers than
+    their sum needs, each container is filled anew as well as any subset can; what takes fewer containers is kept."""
+    used = int(numbers.max(initial=-1)) + 1
+    if len(sizes) > EXACT_ITEMS or used <= -(-int(sizes.sum()) // capacity):
+        return numbers
+    out, left, made = np.empty_like(numbers), list(range(len(sizes))), 0
+    while left and made < used:
+        rest = left[1:]
+        chosen = [left[0], *(rest[i] for i in fullest([int(sizes[r]) for r in rest], capacity - int(sizes[left[0]])))]
+        out[chosen] = made
+        made += 1
+        gone = set(chosen)
+        left = [i for i in left if i not in gone]
+    return out if not left and made < used else numbers
+
+
 def pack(items: DataFrame, groups: Sequence[str], item: str, size: str, capacity: int) -> DataFrame:
     """Columns ``groups``, ``item``, piece_no (from 1), pieces (of the item), piece_size and container (unique in the group)."""
     groups = list(groups)
@@ -112,7 +153,8 @@ def pack(items: DataFrame, groups: Sequence[str], item: str, size: str, capacity
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def packed(g: pd.DataFrame) -> pd.DataFrame:
-            c = fill(g["piece_size"].to_numpy(), bounds, capacity)
+            sizes = g["piece_size"].to_numpy()
+            c = tighten(sizes, fill(sizes, bounds, capacity), capacity)
             return g.assign(container=[f"{s}-{k}" for s, k in zip(g["shard"], c, strict=True)])
 
         waiting: list[pd.DataFrame] = []

@@ -169,6 +169,28 @@ def test_packing_holds_every_item_once(spark, monkeypatch):
     assert packing.pack(df.limit(0), ["g"], "id", "size", 100).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=11), st.integers(0, 120))
+def test_fullest_is_the_best_subset(sizes, space):
+    sums = {0}
+    for s in sizes:
+        sums |= {s + t for t in sums}
+    got = packing.fullest(sizes, space)
+    assert len(set(got)) == len(got) and sum(sizes[i] for i in got) == max(s for s in sums if s <= space)
+
+
+def test_full_containers_are_found():
+    rng = random.Random(6)
+    for _ in range(20):
+        sizes = []
+        for _ in range(3):
+            cuts = sorted(rng.sample(range(1, 10**8), 7))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 10**8], strict=True)]
+        s = np.array(sorted(sizes, reverse=True))
+        c = packing.tighten(s, packing.fill(s, [10**8], 10**8), 10**8)
+        assert c.max() == 2 and (np.bincount(c, s) <= 10**8).all()
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 60), st.integers(1, 4)), min_size=1, max_size=6, unique_by=lambda x: x[0]), st.integers(0, 300))
