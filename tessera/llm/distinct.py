@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..parallel import spread
+
 #: Hashes in one stored run at most; a larger set becomes several runs over disjoint ranges of hashes.
 MAX_RUN = 4096
 #: Rows of a group above which its hashes are split by leading bits.
@@ -196,7 +198,7 @@ def distinct_runs(df: DataFrame, groups: Sequence[str], identifier: str) -> Data
         if waiting:
             yield coded(waiting)
 
-    return _merged(x.mapInArrow(go, _run_schema(df.schema, groups)), groups)
+    return _merged(spread(x).mapInArrow(go, _run_schema(df.schema, groups)), groups)
 
 
 def roll_up(runs: DataFrame, groups: Sequence[str]) -> DataFrame:

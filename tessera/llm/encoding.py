@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..parallel import spread
+
 # Candidate encodings (fixed names of Python's codecs).
 SINGLE = ("cp1252", "latin_1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "koi8_r", "cp866", "iso8859_2", "iso8859_15", "cp1254", "cp1257", "cp1253")
 DOUBLE = ("gb18030", "cp932", "big5", "cp949", "euc_jp")
@@ -289,4 +291,4 @@ def repaired(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "fixed_runs", "garbled_left"])
 
     # Only texts with a character outside ASCII, or an entity, can be garbled: the rest never leaves the JVM.
-    return docs.where(F.col(text).rlike("[^\\x00-\\x7F]|&[#A-Za-z]")).mapInArrow(go, schema)
+    return spread(docs.where(F.col(text).rlike("[^\\x00-\\x7F]|&[#A-Za-z]"))).mapInArrow(go, schema)

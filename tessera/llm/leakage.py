@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..parallel import spread
+
 #: Of an item's words, the share that makes a case; words per changed, added or missing one.
 SHARE, EDITS = 0.4, 6
 #: BM25's parameters.
@@ -276,6 +278,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> Data
     answer (ids unique)."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, covered double, matched double, answer_found boolean"
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     x = items.select(F.col("item_id").cast("long"), "passage", "answer").where("passage IS NOT NULL AND item_id IS NOT NULL")
     shards = max(1, math.ceil(x.count() / max_items))
     out = None
@@ -298,6 +301,6 @@ def leaks(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> Data
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "covered", "matched", "answer_found"])
 
-        one = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(go, schema)
+        one = docs.mapInArrow(go, schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], schema)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..parallel import spread
 from ..scratch import written
 
 #: Vocabulary file (``tokenizers`` format) whose tokens are counted: white space separates, and is no token.
@@ -173,7 +174,7 @@ def plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
 def count_documents(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, key and tokens of the documents of listed sources, as a table in the shared folder."""
     keys = targets.where(F.col("source").isNotNull()).select(key(F.col("source")).alias("key")).distinct()
-    d = docs.select("doc_id", key(F.col("source")).alias("key"), "text").join(keys, "key", "left_semi")
+    d = spread(docs.select("doc_id", key(F.col("source")).alias("key"), "text"), "doc_id").join(keys, "key", "left_semi")
     return written(token_counts(d, tokenizer=tokenizer).select("doc_id", "key", "tokens"), "token-counts")
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..parallel import spread
+
 #: Rows of heaps that one task holds before it hands them on and starts anew; it bounds memory, not the result.
 MAX_HEAP_ROWS = 1_000_000
 BATCH_ROWS = 200_000
@@ -58,7 +60,7 @@ def heaps(df: DataFrame, groups: Sequence[str], item: str, score: str, n: int) -
         if heap is not None and len(heap):
             yield heap
 
-    out = x.mapInPandas(go, x.schema)
+    out = spread(x).mapInPandas(go, x.schema)
     back = (F.col("_score").cast("decimal(38,0)") / F.lit(10**kind.scale)).cast(kind) if isinstance(kind, T.DecimalType) and kind.precision <= 18 else F.col("_score")
     return out.select(*[F.col(k).alias(g) for k, g in zip(keys, groups, strict=True)], F.col("item").alias(item), back.alias(score))
 
