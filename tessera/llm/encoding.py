@@ -36,6 +36,7 @@ INTENDED = ("cp932", "euc_jp", "gb18030")
 LEGACY = ("koi8_r", "cp437", "cp850", "mac_roman", "cp1251", "cp866", "cp1253", "cp1250", "cp1257", "cp1252", "iso8859_2")
 MAX_LAYERS = 4
 
+_ASCII = frozenset(map(chr, range(128)))
 # Letters and signs of sound Latin text beside ASCII (fixed values).
 _EXPECTED = frozenset("äöüßÄÖÜẞéèàâêëîïôûùüÿçœæÉÈÀÂÊËÎÏÔÛÙÇŒÆáíóúñÁÍÓÚÑìòÌÒãõÃÕåøÅØ¿¡«»“”„‘’‚‹›…–—°±µμ²³¹½¼¾·×÷§©®™€£¥ªº′″%‰†‡•−ﬁﬂ\xa0\xad\u2009")
 _FEW = frozenset("œŒšŠžŽŸčČćĆđĐłŁńŃęĘąĄśŚźŹżŻěĚřŘůŮőŐűŰğĞıİşŞăĂ")
@@ -45,7 +46,9 @@ _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
 # Signs that every longer Japanese or Chinese line holds some of.
 _USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，")
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
-_IN_WORD = re.compile("[A-Za-z][^\x00-\xbf\u2000-\u22ff]|[^\x00-\xbf\u2000-\u22ff][A-Za-z]|[a-z][\xb1-\xbf\u2000-\u206f\u207f\u2200-\u22ff][a-z]")
+_LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
+_STRANGE = "[^\x00-\xbf\u2000-\u22ff\u2e80-\uffdc" + re.escape("".join(c for c in _EXPECTED if c > "\xbf")) + "]"
+_IN_WORD = re.compile(f"[A-Za-z]{_STRANGE}|{_STRANGE}[A-Za-z]|[a-z][²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑][a-z]")
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«", '"': '"', "'": "'", "「": "」", "『": "』", "‹": "›"}
 _CLOSING = frozenset("".join(_QUOTES.values()))
 MEMO = 200_000
@@ -193,7 +196,7 @@ def _legacy(text: str) -> tuple[str, int]:
     line is kept if every sign of it is then an expected one."""
     out, fixed = [], 0
     for line in text.split("\n"):
-        strange = [c for c in line if c > "\x7f" and c not in _EXPECTED]
+        strange = [] if line.isascii() else [c for c in line if c > "\x7f" and c not in _EXPECTED]
         if len(strange) >= 2 and len(_IN_WORD.findall(line)) >= 2:
             for wrong in LEGACY:
                 table = _bytes(wrong)
@@ -213,7 +216,7 @@ def _lines(text: str) -> tuple[str, int]:
     """Undo a single-byte reading of lines of a double-byte encoding."""
     out, fixed = [], 0
     for line in text.split("\n"):
-        high = sum(c >= "\x80" for c in line)
+        high = 0 if line.isascii() else len(line) - len(line.encode("ascii", "ignore"))
         if high >= 4 and high * 4 >= len(line) and not any("぀" <= c < "ꀀ" for c in line):
             for e in ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251"):
                 table = _bytes(e)
@@ -245,10 +248,13 @@ def repair(text: str) -> tuple[str, int, int]:
         return text, 0, 0
     fixed = 0
     for _ in range(MAX_LAYERS):
-        text, n = _lines(text) if _LOST.search(text) else (text, 0)
+        signs = set(text) - _ASCII
+        if not signs:
+            break
+        text, n = _lines(text) if not _LOST_SIGNS.isdisjoint(signs) else (text, 0)
         if not n:
             text, n = _runs(text)
-        if not n and _IN_WORD.search(text):
+        if not n and any(c < "⺀" for c in signs - _EXPECTED) and _IN_WORD.search(text):
             text, n = _lines(text)
             if not n:
                 text, n = _legacy(text)
@@ -261,8 +267,9 @@ def repair(text: str) -> tuple[str, int, int]:
             inner, n, left = repair(plain)
             if n:
                 return inner, fixed + n, left
-    left = sum(m.end() - m.start() for m in _LOST.finditer(text) if not _quoted(text, m.start(), m.end()))
-    return text, fixed, left
+    if _LOST_SIGNS.isdisjoint(text):
+        return text, fixed, 0
+    return text, fixed, sum(m.end() - m.start() for m in _LOST.finditer(text) if not _quoted(text, m.start(), m.end()))
 
 
 def repaired(docs: DataFrame, text: str = "text") -> DataFrame:
