@@ -10,7 +10,7 @@ text's: a case holds a stretch of at least SHARE of the item's words, in order,
 or missing (the score of a local alignment decides where a stretch ends). ``answer_found``: the answer's words follow in the text.
 
 Words are runs of letters or digits after case folding, compatibility decomposition (ligatures, wide forms), removal of tags,
-entities, soft hyphens and hyphens at line ends. Passages are so long that a stretch of two fifths, with its additions, always
+entities, soft hyphens and hyphens at line ends; wrongly decoded texts with candidates are restored first (``encoding``). Passages are so long that a stretch of two fifths, with its additions, always
 lies whole within one of them.
 
 The index is broadcast in shards of ``MAX_ITEMS`` items: their number of scans over the corpus grows with the items, memory
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..parallel import spread
+from . import encoding
 
 #: Of an item's words, the share that makes a case; words per changed, added or missing one.
 SHARE, EDITS = 0.4, 6
@@ -201,8 +202,9 @@ def candidates(ix: Index, ids: np.ndarray, ends: np.ndarray) -> dict[tuple[int,
     return out
 
 
-#: Cost of a changed, added or missing word in the local alignment; a matching word earns 1.
-PENALTY = 2.0
+#: Cost of a changed, added or missing word in the local alignment; a matching word earns 1. Above 2, so that two stock sentences
+#: with a few words between them don't make one stretch.
+PENALTY = 2.25
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
@@ -239,7 +241,7 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def find(ix: Index, texts: list[str]) -> list[tuple[int, int, float, float, float, bool]]:
+def find(ix: Index, texts: list[str], restore: bool = True) -> list[tuple[int, int, float, float, float, bool]]:
     """(number of the text, item_id, score, share of the item's words that the stretch covers, share of those that match,
     answer_found) of the cases."""
     get = ix.vocabulary.get
@@ -252,15 +254,21 @@ def find(ix: Index, texts: list[str]) -> list[tuple[int, int, float, float, floa
         return []
     x, end = np.array(ids, np.int64), np.array(ends)
     begin = np.r_[0, end[:-1]]
-    hits = []
-    for (t, i), (score, a, e) in candidates(ix, x, end).items():
+    hits, out = [], []
+    found = candidates(ix, x, end)
+    # Texts with candidates that were decoded wrongly are searched again as they should read.
+    again = {t: r for t in {t for t, _ in found} if restore and not texts[t].isascii() and (r := encoding.repair(texts[t])[0]) != texts[t]}
+    for (t, *rest) in find(ix, list(again.values()), False):
+        out.append((list(again)[t], *rest))
+    for (t, i), (score, a, e) in found.items():
+        if t in again:
+            continue
         n = len(ix.sequences[i])
         part = x[max(begin[t], a - n) : min(end[t], e + n)]
         # A lost word costs two pairs of neighbours at most; without enough of those left there is nothing to align.
         if np.isin(ix.pairs[i], part[:-1] * len(ix.bound) + part[1:]).sum() >= SHARE * n * (1 - 2 / EDITS) - 2:
             hits.append((t, i, score, part))
     hits.sort(key=lambda h: len(h[3]))
-    out = []
     for k in range(0, len(hits), 64):
         some = hits[k : k + 64]
         for (t, i, score, part), (first, last, same, upto) in zip(some, align([ix.sequences[h[1]] for h in some], [h[3] for h in some]).tolist(), strict=True):
