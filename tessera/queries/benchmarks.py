@@ -89,7 +89,7 @@ SELECT CASE WHEN (SELECT count(*) FROM {store_sales} WHERE ss_quantity BETWEEN 1
   (SELECT round(CAST(avg(ss_net_paid) AS DOUBLE), 4) FROM {store_sales} WHERE ss_quantity BETWEEN 41 AND 60) AS bucket3""")
 sql("retail_q12_class_share", """
 SELECT i_item_id, i_class, round(CAST(sum(ss_ext_sales_price) AS DOUBLE), 2) AS itemrevenue,
-  round(CAST(sum(ss_ext_sales_price) AS DOUBLE) * 100 / CAST(sum(sum(ss_ext_sales_price)) OVER (PARTITION BY i_class) AS DOUBLE), 4) AS revenueratio
+  round(CAST(sum(ss_ext_sales_price) AS DOUBLE) * 100 / nullif(CAST(sum(sum(ss_ext_sales_price)) OVER (PARTITION BY i_class) AS DOUBLE), 0), 4) AS revenueratio
 FROM {store_sales} JOIN {item} ON ss_item_sk = i_item_sk JOIN {date_dim} ON ss_sold_date_sk = d_date_sk
 WHERE d_date BETWEEN DATE '2001-01-05' AND DATE '2001-03-05' GROUP BY i_item_id, i_class""")
 sql("retail_q17_stddev", """

@@ -112,7 +112,7 @@ def test_top_groups_keeps_ties_and_nulls(spark):
 
 
 def test_date_range_reaches_the_scan(spark, duck):
-    from conftest import DATA
+    from comparing import DATA
 
     x = spark.read.parquet(f"{DATA}/lineitem.parquet").where(rewrites.in_year("l_shipdate", 1998))
     plan = x._jdf.queryExecution().executedPlan().toString()

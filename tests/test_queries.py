@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(__file__))
-
-from comparing import same_as_duckdb
-from conftest import DATA
+from comparing import DATA, same_as_duckdb
 
 from tessera.queries.catalog import QUERIES, SQL
 
