@@ -135,6 +135,8 @@ def compact(spark: SparkSession, src: str, out: str, small: int = SMALL, target:
     alone are copied by the same means, so ``out`` is the whole table. Gives a row per file written. The source is left as it is;
     to be run as an action (it writes when the result is computed)."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(src).select("path", "length")
+    # Names and lengths are known from the listing; without this every few files would be a task of their own.
+    listed = listed.coalesce(4 * spark.sparkContext.defaultParallelism)
     root = re.sub(r"^file:/*", "file:/", src if ":/" in src else f"file:{src}").rstrip("/")
     below = F.expr(f"substring(regexp_replace(path, '^file:/*', 'file:/'), {len(root) + 2})")
     f = listed.select("path", "length", F.xxhash64("path").alias("write_id"), F.lit(1).alias("records"), F.col("length").alias("bytes"), F.regexp_replace(below, r"/?[^/]*$", "").alias("partition"))
