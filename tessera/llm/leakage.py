@@ -7,7 +7,8 @@ maxima reach the block's threshold are scored, and every item that reaches its o
 threshold is the lowest score that a stretch of ``SHARE`` of its words can have after one in ``EDITS`` of its words is lost (the
 heaviest ones), so no stretch within the definition is missed. Candidates are verified by aligning the item's words with the
 text's: a case holds a stretch of at least SHARE of the item's words, in order, with at most one word in EDITS changed, added
-or missing (the score of a local alignment decides where a stretch ends). ``answer_found``: the answer's words follow in the text.
+or missing. The stretch of the best local alignment decides, or else the longest one that begins and ends with a matching word
+and keeps to those edits. ``answer_found``: the answer's words follow in the text.
 
 Words are runs of letters or digits after case folding, compatibility decomposition (ligatures, wide forms), removal of tags,
 entities, soft hyphens and hyphens at line ends; wrongly decoded texts with candidates are restored first (``encoding``). Passages are so long that a stretch of two fifths, with its additions, always
@@ -207,8 +208,8 @@ def candidates(ix: Index, ids: np.ndarray, ends: np.ndarray) -> dict[tuple[int,
 PENALTY = 2.25
 
 
-def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
-    """Best local alignments of pairs, a row each: first item word, end, matches, end in the text."""
+def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Best local alignments of pairs, a row each: item words, matches, end in the text; and their scores."""
     c, n, m = len(items), max(map(len, items)), max(map(len, texts))
     item, text = np.full((n, c), -1, np.int32), np.full((c, m), -2, np.int32)
     for k, (i, t) in enumerate(zip(items, texts, strict=True)):
@@ -238,6 +239,41 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
         up = np.flatnonzero(top_now > best)
         best[up] = top_now[up]
         out[up] = np.stack([begin[up, j[up]], np.full(len(up), i + 1), hits[up, j[up]], j[up]], 1)
+    return np.stack([out[:, 1] - out[:, 0], out[:, 2], out[:, 3]], 1), best
+
+
+#: Cells (edits, words of a text, pairs) that are aligned together.
+CELLS = 1 << 20
+
+
+def longest(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """The longest stretches of pairs that begin and end with a matching word and have at most one edit in EDITS of the item's
+    words, a row each: item words, matches, end in the text."""
+    c, n, m = len(items), max(map(len, items)), max(map(len, texts))
+    item, text = np.full((n, c), -1, np.int32), np.full((c, m), -2, np.int32)
+    for k, (i, t) in enumerate(zip(items, texts, strict=True)):
+        item[: len(i), k], text[k, : len(t)] = i, t
+    known, edits = text > 0, np.arange(n // EDITS + 1)[:, None, None]
+    one = n + 1
+    none = -2 * one * one
+    # Per number of edits and end in the text: words of the item, ``one`` each, and matches; below 0 where no stretch ends.
+    span = np.full((len(edits), c, m + 1), none, np.int64 if n > 10_000 else np.int32)
+    out = np.zeros((c, 3), np.int64)
+    for i in range(n):
+        same = (text == item[i][:, None]) & known
+        new = np.full_like(span, none)
+        new[1:] = span[:-1] + one  # missing
+        new[1:, :, 1:] = np.maximum(new[1:, :, 1:], span[:-1, :, :-1] + one)  # changed
+        matched = np.where(same, np.maximum(span[:, :, :-1], 0) + one + 1, none)
+        new[:, :, 1:] = np.maximum(new[:, :, 1:], matched)
+        for e in range(1, len(edits)):  # added
+            new[e, :, 1:] = np.maximum(new[e, :, 1:], new[e - 1, :, :-1])
+        span = new
+        whole = np.where(matched >= EDITS * edits * one, matched, 0).max(0)
+        j = whole.argmax(1)
+        top = whole[np.arange(c), j]
+        up = np.flatnonzero(top > out[:, 0] * one + out[:, 1])
+        out[up] = np.stack([top[up] // one, top[up] % one, j[up] + 1], 1)
     return out
 
 
@@ -269,15 +305,27 @@ def find(ix: Index, texts: list[str], restore: bool = True) -> list[tuple[int, i
         if np.isin(ix.pairs[i], part[:-1] * len(ix.bound) + part[1:]).sum() >= SHARE * n * (1 - 2 / EDITS) - 2:
             hits.append((t, i, score, part))
     hits.sort(key=lambda h: len(h[3]))
+    cases, rest = [], []
     for k in range(0, len(hits), 64):
         some = hits[k : k + 64]
-        for (t, i, score, part), (first, last, same, upto) in zip(some, align([ix.sequences[h[1]] for h in some], [h[3] for h in some]).tolist(), strict=True):
-            n, covered = len(ix.sequences[i]), last - first
-            if covered < SHARE * n - 1e-9:
-                continue
-            ans, after = ix.answers[i], part[upto : upto + 40]
-            known = len(ans) > 0 and any(np.array_equal(after[j : j + len(ans)], ans) for j in range(len(after) - len(ans) + 1))
-            out.append((t, ix.ids[i], float(score), covered / n, same / covered, bool(known)))
+        for h, got, best in zip(some, *align([ix.sequences[h[1]] for h in some], [h[3] for h in some]), strict=True):
+            least = SHARE * len(ix.sequences[h[1]]) - 1e-9
+            if got[0] >= least:
+                cases.append((h, got.tolist()))
+            elif best >= least * (1 - (1 + PENALTY) / EDITS):  # what a stretch at the limit scores at least
+                rest.append(h)
+    while rest:  # stretches whose ends the alignment left out behind edits
+        cells = len(rest[0][3]) * max(len(ix.sequences[h[1]]) for h in rest[:64]) // EDITS
+        k = min(64, max(1, CELLS // max(1, cells)))
+        some, rest = rest[:k], rest[k:]
+        for h, got in zip(some, longest([ix.sequences[h[1]] for h in some], [h[3] for h in some]).tolist(), strict=True):
+            if got[0] >= SHARE * len(ix.sequences[h[1]]) - 1e-9:
+                cases.append((h, got))
+    for (t, i, score, part), (covered, same, upto) in cases:
+        n = len(ix.sequences[i])
+        ans, after = ix.answers[i], part[upto : upto + 40]
+        known = len(ans) > 0 and any(np.array_equal(after[j : j + len(ans)], ans) for j in range(len(after) - len(ans) + 1))
+        out.append((t, ix.ids[i], float(score), covered / n, same / covered, bool(known)))
     return out
 
 

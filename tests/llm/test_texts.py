@@ -86,6 +86,25 @@ def test_brute_force_agrees(index):
     assert want <= got
 
 
+def test_stretches_right_at_the_limit(index):
+    """24 of 60 words, with as many edits as the definition has, anywhere but at the ends."""
+    r, texts, want = random.Random(5), [], set()
+    for t in range(120):
+        k, n = r.randrange(40), r.randint(24, 30)
+        lo = r.randint(0, 60 - n)
+        w = passage(k)[lo : lo + n]
+        for i in r.sample(range(1, n - 1), n // 6):
+            w[i] = r.choice(["", "such", w[i] + " 31"])
+        texts.append(f"{'such ' * 200}{' '.join(w)}{' such' * 150}")
+        want.add((t, k))
+    assert want <= {(g[0], g[1]) for g in leakage.find(index, texts)}
+
+
+def test_shorter_stretches_are_no_cases(index):
+    """19 words and three missing ones, as many as 22 words may have, are short of 24."""
+    assert not leakage.find(index, [f"{'such ' * 200}{' '.join(passage(k)[20:39])}{' such' * 150}" for k in range(40)])
+
+
 def test_answers_and_several_items_in_one_text(index):
     text = f"{FILL(60)} {ITEMS[11][1]} 42 percent {FILL(30)} {ITEMS[12][1]} {FILL(30)} {ITEMS[11][1]}"
     got = {g[1]: g for g in leakage.find(index, [text])}
