@@ -42,10 +42,10 @@ FROM store_returns WHERE sr_returned_date_sk IS NOT NULL GROUP BY 1""")
 def p4_returns_compacted(spark: SparkSession, d: str) -> DataFrame:
     """store_returns, written as many small files per day, joined block by block and read again."""
     small, out = new_path(spark, "small-files"), new_path(spark, "compacted")
-    r = table(spark, d, "store_returns").where("sr_returned_date_sk IS NOT NULL")
-    r.repartition(4).write.partitionBy("sr_returned_date_sk").parquet(small)  # four files a day, whatever the input's size
+    r = table(spark, d, "store_returns")
+    r.write.partitionBy("sr_returned_date_sk").parquet(small)
     made = small_files.compact(spark, small, out).agg(F.sum("rows")).first()[0]
     back = spark.read.schema(r.schema).parquet(out) if made else r
-    return back.groupBy(F.col("sr_returned_date_sk").cast("bigint").alias("sr_returned_date_sk")).agg(
+    return back.where("sr_returned_date_sk IS NOT NULL").groupBy(F.col("sr_returned_date_sk").cast("bigint").alias("sr_returned_date_sk")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("sr_ticket_number").alias("tickets"), F.sum("sr_return_amt").cast("double").alias("amount")
     )

@@ -117,3 +117,25 @@ def test_directory_is_compacted_without_loss(spark, tmp_path):
     back = spark.read.schema("id long, s string, d double, p int").parquet(str(out))
     assert back.count() == 5000 and back.selectExpr("id", "CAST(p AS BIGINT) AS p", "s", "CAST(d AS DOUBLE) AS d").exceptAll(x.selectExpr("id", "p", "s", "CAST(d AS DOUBLE) AS d")).count() == 0
     assert len(list(out.rglob("*.parquet"))) == 4
+
+
+def test_returns_are_compacted_whole(spark, tmp_path, monkeypatch):
+    """Small files grow in number with the input's, and the rows without a day are joined with the rest."""
+    from comparing import DATA
+
+    from tessera.queries import storage
+
+    spark.read.parquet(f"{DATA}/store_returns.parquet").selectExpr("*", "explode(sequence(1, 40)) AS i").drop("i").repartition(8).write.parquet(str(tmp_path / "store_returns.parquet"))
+    r = spark.read.parquet(str(tmp_path / "store_returns.parquet"))
+    made = []
+    compact = small_files.compact
+    monkeypatch.setattr(small_files, "compact", lambda *a: made.append(compact(*a).toPandas()) or spark.createDataFrame(made[0]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = storage.p4_returns_compacted(spark, str(tmp_path)).agg({"n": "sum"}).first()[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    days = r.where("sr_returned_date_sk IS NOT NULL").count()
+    assert days < made[0]["rows"].sum() == r.count() and got == days
+    assert made[0]["files"].max() > 4
