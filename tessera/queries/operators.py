@@ -31,6 +31,10 @@ for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
     sql(f"join_{_how}", f"""
 SELECT ss_item_sk, ss_ticket_number, sr_item_sk, sr_return_quantity FROM (SELECT * FROM {{store_sales}} WHERE ss_store_sk = 1) s
 {_word} (SELECT * FROM {{store_returns}} WHERE sr_store_sk IN (1, 2)) r ON ss_item_sk = sr_item_sk AND ss_ticket_number = sr_ticket_number""")
+for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    sql(f"join_{_how}_whole", f"""
+SELECT ss_item_sk, ss_ticket_number, ss_store_sk, sr_item_sk, sr_store_sk, sr_return_quantity FROM {{store_sales}}
+{_word} {{store_returns}} ON ss_item_sk = sr_item_sk AND ss_ticket_number = sr_ticket_number""")
 sql("join_left_semi", "SELECT ss_ticket_number, ss_item_sk FROM {store_sales} LEFT SEMI JOIN {store_returns} ON ss_ticket_number = sr_ticket_number AND ss_item_sk = sr_item_sk",
     "SELECT ss_ticket_number, ss_item_sk FROM {store_sales} WHERE EXISTS (SELECT 1 FROM {store_returns} WHERE ss_ticket_number = sr_ticket_number AND ss_item_sk = sr_item_sk)")
 sql("join_left_anti", "SELECT sr_ticket_number, sr_item_sk FROM {store_returns} LEFT ANTI JOIN {store_sales} ON ss_ticket_number = sr_ticket_number AND ss_item_sk = sr_item_sk",
@@ -241,6 +245,7 @@ def window_top_with_ties(spark: SparkSession, d: str) -> DataFrame:
 # --- sort, limit, sampling, partitions ---------------------------------------------------------------------------------
 sql("sort_global", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey")
 sql("sort_nulls", "SELECT ss_ticket_number, ss_promo_sk FROM {store_sales} WHERE ss_store_sk = 3 ORDER BY ss_promo_sk DESC NULLS LAST, ss_ticket_number")
+sql("sort_nulls_whole", "SELECT ss_ticket_number, ss_item_sk, ss_promo_sk FROM {store_sales} ORDER BY ss_promo_sk DESC NULLS LAST, ss_ticket_number, ss_item_sk")
 sql("sort_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 sql("limit_offset", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 10 OFFSET 7")
 sql("limit_without_order", "SELECT count(*) AS n FROM (SELECT * FROM {lineitem} LIMIT 1000) t")

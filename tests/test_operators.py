@@ -135,3 +135,14 @@ def test_top_per_group(spark):
     x = spark.createDataFrame([(1, 5), (1, 5), (1, 4), (1, 3), (2, 1)], "k int, v int")
     by = [F.col("v").desc()]
     assert [aggregates.top_per_group(x, ["k"], by, 2, t).count() for t in ("row_number", "rank", "dense_rank")] == [3, 3, 4]
+
+
+def test_whole_tables_are_joined_and_sorted(spark, duck):
+    from comparing import DATA
+
+    from tessera.queries.catalog import QUERIES
+
+    sales, stores = duck.execute("SELECT count(*), count(DISTINCT coalesce(ss_store_sk, -1)) FROM store_sales").fetchone()
+    assert QUERIES["sort_nulls_whole"](spark, DATA).count() == sales
+    left = QUERIES["join_left_whole"](spark, DATA)
+    assert left.count() >= sales and left.selectExpr("coalesce(ss_store_sk, -1)").distinct().count() == stores
