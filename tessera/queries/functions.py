@@ -65,6 +65,8 @@ SELECT p_partkey, soundex(p_name) AS sx, conv(CAST(p_size AS STRING), 10, 16) AS
  printf('%05d', p_size) AS pf, is_valid_utf8(p_name) AS vu, randstr(4, 1) IS NOT NULL AS rs, quote(p_name) AS qu FROM {part}""", None)
 sql("fn_string_documents", "SELECT doc_id, length(text) AS n, upper(substring(text, 1, 20)) AS head, crc32(CAST(substring(text, 1, 50) AS BINARY)) > 0 AS c, size(split(text, '\\n')) AS lines FROM {documents}",
     "SELECT doc_id, CAST(length(text) AS INT) AS n, upper(substring(text, 1, 20)) AS head, true AS c, CAST(len(string_split(text, chr(10))) AS INT) AS lines FROM {documents}")
+sql("fn_string_documents_whole", "SELECT doc_id, length(text) AS n, md5(upper(text)) AS up, md5(text) AS m, size(split(text, '\\n')) AS lines FROM {documents}",
+    "SELECT doc_id, CAST(length(text) AS INT) AS n, md5(upper(replace(text, 'ß', 'SS'))) AS up, md5(text) AS m, CAST(len(string_split(text, chr(10))) AS INT) AS lines FROM {documents}")
 
 # --- mathematics -------------------------------------------------------------------------------------------------------
 _M = "FROM {lineitem} WHERE l_linenumber <= 3"

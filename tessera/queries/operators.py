@@ -306,9 +306,13 @@ def set_drop_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 # --- generators --------------------------------------------------------------------------------------------------------
 sql("gen_explode", "SELECT doc_id, w FROM {documents} LATERAL VIEW explode(split(substring(text, 1, 200), ' ')) x AS w WHERE doc_id % 7 = 0", "SELECT doc_id, unnest(string_split(substring(text, 1, 200), ' ')) AS w FROM {documents} WHERE doc_id % 7 = 0")
+sql("gen_explode_whole", "SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {documents} LATERAL VIEW explode(split(text, ' ')) x AS w GROUP BY w",
+    "SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM {documents}) t GROUP BY w")
 sql("gen_explode_outer", "SELECT k, v FROM (VALUES (1, array(1, 2)), (2, array()), (3, CAST(NULL AS ARRAY<INT>))) AS t(k, a) LATERAL VIEW OUTER explode(a) x AS v", "SELECT * FROM (VALUES (1, 1), (1, 2), (2, NULL), (3, NULL)) AS t(k, v)")
 sql("gen_posexplode", "SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW posexplode(slice(embedding, 1, 4)) e AS pos, x",
     "SELECT vec_id, CAST(p AS INT) AS pos, CAST(embedding[p + 1] AS DOUBLE) AS x FROM {embeddings}, range(4) r(p)")
+sql("gen_posexplode_whole", "SELECT vec_id, pos, CAST(x AS DOUBLE) AS x FROM {embeddings} LATERAL VIEW posexplode(embedding) e AS pos, x",
+    "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM {embeddings}")
 sql("gen_posexplode_outer", "SELECT k, p, v FROM (VALUES (1, array('a', 'b')), (2, CAST(NULL AS ARRAY<STRING>))) AS t(k, a) LATERAL VIEW OUTER posexplode(a) x AS p, v", "SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'b'), (2, NULL, NULL)) AS t(k, p, v)")
 sql("gen_explode_map", "SELECT n_nationkey, k, v FROM {nation} LATERAL VIEW explode(map('name', n_name, 'region', CAST(n_regionkey AS STRING))) m AS k, v",
     "SELECT n_nationkey, 'name' AS k, n_name AS v FROM {nation} UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM {nation}")

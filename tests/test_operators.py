@@ -146,3 +146,13 @@ def test_whole_tables_are_joined_and_sorted(spark, duck):
     assert QUERIES["sort_nulls_whole"](spark, DATA).count() == sales
     left = QUERIES["join_left_whole"](spark, DATA)
     assert left.count() >= sales and left.selectExpr("coalesce(ss_store_sk, -1)").distinct().count() == stores
+
+
+def test_whole_texts_and_vectors_are_exploded(spark, duck):
+    from comparing import DATA
+
+    from tessera.queries.catalog import QUERIES
+
+    words = duck.execute("SELECT sum(len(string_split(text, ' '))) FROM documents").fetchone()[0]
+    assert QUERIES["gen_explode_whole"](spark, DATA).agg({"n": "sum"}).first()[0] == words
+    assert QUERIES["gen_posexplode_whole"](spark, DATA).count() == duck.execute("SELECT sum(len(embedding)) FROM embeddings").fetchone()[0]
