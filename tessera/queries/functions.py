@@ -29,6 +29,10 @@ SELECT ss_ticket_number, ss_item_sk, coalesce(ss_quantity, ss_promo_sk, -1) AS c
 sql("fn_try_arithmetic", """
 SELECT ss_ticket_number, ss_item_sk, try_divide(ss_quantity, ss_promo_sk - 5) AS d, try_add(ss_quantity, ss_promo_sk) AS a, try_subtract(ss_quantity, 9223372036854775807) AS s, try_multiply(ss_quantity, 2) AS m FROM {store_sales} WHERE ss_quantity >= 0""", """
 SELECT ss_ticket_number, ss_item_sk, ss_quantity / nullif(ss_promo_sk - 5, 0) AS d, ss_quantity + ss_promo_sk AS a, ss_quantity - 9223372036854775807 AS s, ss_quantity * 2 AS m FROM {store_sales} WHERE ss_quantity >= 0""")
+sql("fn_try_arithmetic_whole", """
+SELECT ss_ticket_number, ss_item_sk, try_divide(ss_quantity, ss_promo_sk - 5) AS d, try_add(ss_quantity, ss_promo_sk) AS a, try_subtract(ss_quantity, 9223372036854775807) AS s, try_multiply(ss_quantity, 2) AS m FROM {store_sales}""", """
+SELECT ss_ticket_number, ss_item_sk, ss_quantity / nullif(ss_promo_sk - 5, 0) AS d, ss_quantity + ss_promo_sk AS a,
+ CASE WHEN ss_quantity >= -1 THEN ss_quantity - 9223372036854775807 END AS s, ss_quantity * 2 AS m FROM {store_sales}""")
 sql("fn_nan", "SELECT l_linenumber, isnan(x) AS n, nanvl(x, 9.0D) AS v FROM (SELECT DISTINCT l_linenumber, CASE WHEN l_linenumber < 3 THEN double('NaN') ELSE CAST(l_linenumber AS DOUBLE) END AS x FROM {lineitem}) t",
     "SELECT l_linenumber, isnan(x) AS n, CASE WHEN isnan(x) THEN 9.0 ELSE x END AS v FROM (SELECT DISTINCT l_linenumber, CASE WHEN l_linenumber < 3 THEN 'NaN'::DOUBLE ELSE CAST(l_linenumber AS DOUBLE) END AS x FROM {lineitem}) t")
 sql("fn_casts", """
@@ -80,6 +84,12 @@ SELECT l_orderkey, l_linenumber, round(expm1(l_tax), 8) AS em, round(log1p(l_tax
  factorial(l_linenumber) AS fa, round(sec(l_tax), 8) AS sc, round(csc(l_quantity), 8) AS cc, width_bucket(l_quantity, 0.0D, 50.0D, 10) AS wb, ceil(l_tax * 10, 1) >= 0 AS c1, floor(l_tax * 10, 1) >= 0 AS f1 FROM {lineitem} WHERE l_linenumber <= 3""", """
 SELECT l_orderkey, l_linenumber, round(exp(l_tax) - 1, 8) AS em, round(ln(1 + l_tax), 8) AS lp, round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 6) AS hy, round_even(l_quantity, 0) AS ri, round(exp(1), 8) AS ee, round_even(l_linenumber / 2.0, 0)::DOUBLE AS br, round(log2(l_quantity), 8) AS lb,
  CAST(factorial(l_linenumber) AS BIGINT) AS fa, round(1 / cos(l_tax), 8) AS sc, round(1 / sin(l_quantity), 8) AS cc, CAST(least(floor(l_quantity / 5) + 1, 11) AS BIGINT) AS wb, true AS c1, true AS f1 FROM {lineitem} WHERE l_linenumber <= 3""")
+sql("fn_math_real_whole", f"SELECT l_orderkey, l_linenumber, {_MATH}, CAST(ceil(l_extendedprice) AS BIGINT) AS ce, CAST(floor(l_extendedprice) AS BIGINT) AS fl, round(l_extendedprice) AS ro, CAST(sign(l_discount - 0.05) AS DOUBLE) AS sg FROM {{lineitem}}")
+sql("fn_math_more_whole", """
+SELECT l_orderkey, l_linenumber, round(expm1(l_tax), 8) AS em, round(log1p(l_tax), 8) AS lp, round(hypot(l_quantity, l_tax), 6) AS hy, rint(l_quantity) AS ri, round(e(), 8) AS ee, bround(l_linenumber / 2.0D, 0) AS br, round(log(2.0D, l_quantity), 8) AS lb,
+ factorial(l_linenumber) AS fa, round(sec(l_tax), 8) AS sc, round(csc(l_quantity), 8) AS cc, width_bucket(l_quantity, 0.0D, 50.0D, 10) AS wb, ceil(l_tax * 10, 1) >= 0 AS c1, floor(l_tax * 10, 1) >= 0 AS f1 FROM {lineitem}""", """
+SELECT l_orderkey, l_linenumber, round(exp(l_tax) - 1, 8) AS em, round(ln(1 + l_tax), 8) AS lp, round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 6) AS hy, round_even(l_quantity, 0) AS ri, round(exp(1), 8) AS ee, round_even(l_linenumber / 2.0, 0)::DOUBLE AS br, round(log2(l_quantity), 8) AS lb,
+ CAST(factorial(l_linenumber) AS BIGINT) AS fa, round(1 / cos(l_tax), 8) AS sc, round(1 / sin(l_quantity), 8) AS cc, CAST(least(floor(l_quantity / 5) + 1, 11) AS BIGINT) AS wb, true AS c1, true AS f1 FROM {lineitem}""")
 sql("fn_math_bits", """
 SELECT l_orderkey, l_linenumber, l_orderkey & 12 AS a, l_orderkey | 12 AS o, l_orderkey ^ 12 AS x, ~l_orderkey AS n, shiftleft(l_linenumber, 3) AS sl, shiftright(l_orderkey, 2) AS sr, shiftrightunsigned(l_orderkey, 2) AS su, bit_count(l_orderkey) AS bc, getbit(l_orderkey, 1) AS gb,
  bin(l_linenumber) AS b, hex(l_orderkey) AS h, CAST(unhex(hex('ab')) AS STRING) AS uh FROM {lineitem}""", """

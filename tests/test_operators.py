@@ -156,3 +156,14 @@ def test_whole_texts_and_vectors_are_exploded(spark, duck):
     words = duck.execute("SELECT sum(len(string_split(text, ' '))) FROM documents").fetchone()[0]
     assert QUERIES["gen_explode_whole"](spark, DATA).agg({"n": "sum"}).first()[0] == words
     assert QUERIES["gen_posexplode_whole"](spark, DATA).count() == duck.execute("SELECT sum(len(embedding)) FROM embeddings").fetchone()[0]
+
+
+def test_mathematics_takes_all_rows(spark, duck):
+    from comparing import DATA
+
+    from tessera.queries.catalog import QUERIES
+
+    lines, sales = (duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("lineitem", "store_sales"))
+    assert {QUERIES[q](spark, DATA).count() for q in ("fn_math_real_whole", "fn_math_more_whole")} == {lines}
+    got = QUERIES["fn_try_arithmetic_whole"](spark, DATA)
+    assert got.count() == sales and got.where("m <= -4").count() > 0 and got.where("m <= -4 AND s IS NOT NULL").count() == 0
