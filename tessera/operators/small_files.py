@@ -7,28 +7,32 @@ every group is one task that copies encoded column blocks into a larger file and
 
 Defined cases: a report without path or name denotes no file and doesn't count; a null partition is the unpartitioned place;
 a file whose size no report gives, or without records, is left alone; a partition with one small file is left alone; files of
-different schemas are never joined; empty tables and directories give no row.
+different signatures (schema, writer, keys by which readers take values) are never joined; files are told apart by their whole
+paths; empty tables and directories give no row.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from ..sources import parquet_blocks
 
 #: Name of the place of unpartitioned files (a fixed value of the format).
 NO_PARTITION = "__NO_PARTITION_ID__"
 SMALL = 16 << 20
 TARGET = 128 << 20
-#: Files of a partition that one task orders; larger partitions are split.
+#: Files, on average, of a hash bucket: the share of a partition that one task orders.
 SHARD_FILES = 100_000
+#: Bytes that one task copies, or so.
+TASK_BYTES = 1 << 30
 
 
 def _place(c: Column) -> Column:
@@ -55,36 +59,51 @@ def files(reports: DataFrame) -> DataFrame:
     return r.groupBy("table", "partition", "name").agg(F.min("write_id").alias("write_id"), F.max("records").alias("records"), F.max("bytes").alias("bytes"))
 
 
-def sharded(items: DataFrame, keys: list[str], by: Column, shard_rows: int = SHARD_FILES) -> DataFrame:
-    """Adds ``shard``: groups of more than shard_rows rows are split by a hash. Only groups above a 10,000th of all rows (and
-    shard_rows) are split, so the broadcast list of them has 10,000 rows at most, whatever the data."""
-    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).first()[0] or 0
-    if total <= shard_rows:
+def sharded(items: DataFrame, keys: list[str], by: Column, rows: int, shard_rows: int = SHARD_FILES) -> DataFrame:
+    """Adds ``shard``: groups of more than about shard_rows rows are split by a hash. ``rows``: how many rows ``items`` has.
+
+    Rows are dealt out over hash buckets that grow in number with the rows, the rows of every (group, bucket) are counted, and
+    buckets of a group are strung together until a shard is full. What is joined back has the bucket in its key, so a hot group
+    is nowhere gathered, however large it is."""
+    if rows <= shard_rows:
         return items.withColumn("shard", F.lit(0).cast("bigint"))
-    hot = sizes.where(F.col("_rows") > max(shard_rows, total / 10_000)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_rows") / shard_rows).alias("_shards"))
-    on = None
+    x = items.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(-(-4 * rows // shard_rows))))
+    upto = F.sum("_rows").over(W.partitionBy(*keys).orderBy("_bucket"))
+    b = x.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows")).withColumn("shard", F.floor((upto - F.col("_rows")) / shard_rows).cast("bigint"))
+    b = b.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_of"), "shard")
+    on = F.col("_bucket") == F.col("_of")
     for k in keys:
-        e = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        on = e if on is None else on & e
-    x = items.join(F.broadcast(hot), on, "left")
-    return x.withColumn("shard", F.coalesce(F.pmod(F.xxhash64(by), F.col("_shards")), F.lit(0).cast("bigint"))).drop("_shards", *[f"_{k}" for k in keys])
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return x.join(b, on).drop("_bucket", "_of", *[f"_{k}" for k in keys])
+
 
+def assigned(f: DataFrame, keys: Sequence[str], identity: str, small: int = SMALL, target: int = TARGET) -> DataFrame:
+    """``f`` with the number of the ``output`` within its partition that each small file goes to; null: the file is left alone.
+    ``f``: columns keys (not null), identity (unique), records, bytes. It is computed once and written; everything else comes
+    from that table.
 
-def plan(f: DataFrame, small: int = SMALL, target: int = TARGET, keys: tuple[str, ...] = ("table", "partition")) -> DataFrame:
-    """The files to rewrite, with the number of their output (``shard``, ``output``) within the partition. Outputs of a shard
-    are of even size near the target and hold two files or more. ``f``: columns keys, write_id, records, bytes."""
+    The small files of a partition stand in a row (by hash bucket, then identity) which is cut into outputs of even size. Bytes
+    are summed within (partition, bucket) and the buckets' sums within the partition, so a hot partition is never gathered."""
     keys = list(keys)
-    s = f.where((F.col("records") > 0) & (F.col("bytes") < small))
-    # A partition with a single small file is dropped by that file's number, so a hot partition is never gathered by its key.
-    alone = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("write_id").alias("write_id")).where("_n = 1").select("write_id")
-    s = sharded(s.join(alone, "write_id", "left_anti"), keys, F.col("write_id"))
-    w = W.partitionBy(*keys, "shard")
-    upto = F.sum("bytes").over(w.orderBy(F.col("bytes").desc(), "write_id").rowsBetween(W.unboundedPreceding, 0))
-    s = s.withColumn("_before", upto - F.col("bytes")).withColumn("_total", F.sum("bytes").over(w))
+    f = written(f, "files")
+    few = F.coalesce((F.col("records") > 0) & (F.col("bytes") < small), F.lit(False))
+    s = f.withColumn("_bytes", F.when(few, F.col("bytes"))).withColumn("_bucket", F.pmod(F.xxhash64(identity), F.lit(max(1, -(-f.count() // SHARD_FILES)))))
+    of = W.partitionBy(*keys)
+    b = s.where("_bytes IS NOT NULL").groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_sum"))
+    b = b.withColumn("_total", F.sum("_sum").over(of)).withColumn("_files", F.sum("_n").over(of)).withColumn("_before", F.sum("_sum").over(of.orderBy("_bucket")) - F.col("_sum"))
+    b = b.where("_files > 1").select(*keys, "_bucket", "_before", "_total")
+    inside = F.sum("_bytes").over(W.partitionBy(*keys, "_bucket").orderBy(identity).rowsBetween(W.unboundedPreceding, 0)) - F.col("_bytes")
     outputs = F.greatest(F.lit(1), F.round(F.col("_total") / target)).cast("bigint")
-    s = s.withColumn("output", F.least(outputs - 1, F.floor(F.col("_before") / (F.col("_total") / outputs))).cast("bigint"))
-    return s.drop("_before", "_total")
+    at = F.floor((F.col("_before") + F.col("_inside")) / (F.col("_total") / outputs))
+    x = s.withColumn("_inside", inside).join(b, [*keys, "_bucket"], "left")
+    x = x.withColumn("output", F.when(F.col("_bytes").isNotNull() & F.col("_total").isNotNull(), F.least(outputs - 1, at).cast("bigint")))
+    return x.select(*f.columns, "output")
+
+
+def plan(f: DataFrame, small: int = SMALL, target: int = TARGET, keys: Sequence[str] = ("table", "partition"), identity: str = "write_id") -> DataFrame:
+    """The files to rewrite, with the number of their ``output`` within the partition. Outputs are of even size near the target
+    and hold two files or more. ``f``: columns keys, identity, records, bytes."""
+    return assigned(f, keys, identity, small, target).where("output IS NOT NULL")
 
 
 def _filesystem(uri: str):  # noqa: ANN202
@@ -96,29 +115,60 @@ def _filesystem(uri: str):  # noqa: ANN202
     return fs.FileSystem.from_uri(uri)
 
 
-def _join_group(out_dir: str, small: pd.DataFrame) -> list[dict]:
-    """Write one output per schema of a group's files."""
+def listing(spark: SparkSession, src: str) -> DataFrame:
+    """The Parquet files below a folder: partition (the folder, seen from ``src``), name and length. Folders are listed by tasks,
+    level by level, so neither names nor folders pass through the driver. Hidden names (as Spark takes them) are left out."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, base = _filesystem(src)
+        for b in batches:
+            for folder in b["partition"]:
+                rows = []
+                for i in where.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
+                    n = i.base_name
+                    if n.startswith(".") or n.startswith("_") and "=" not in n:
+                        continue
+                    if i.type == fs.FileType.Directory:
+                        rows.append((folder, n, -1))
+                    elif n.endswith(".parquet"):
+                        rows.append((folder, n, i.size))
+                for k in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[k : k + 10_000], columns=["partition", "name", "length"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    level, out = spark.createDataFrame([("",)], "partition string"), None
+    while True:
+        found = written(level.repartition(tasks).mapInPandas(go, "partition string, name string, length long"), "listing")
+        out = found if out is None else out.unionByName(found)
+        level = found.where("length < 0").select(F.ltrim(F.concat_ws("/", "partition", "name"), F.lit("/")).alias("partition"))
+        if level.isEmpty():
+            return out.where("length >= 0")
+
+
+def _join_group(src: str, out_dir: str, partition: str, output: int | None, small: list[tuple[str, int]]) -> list[dict]:
+    """Write one output per signature of a group's files (name, length)."""
     from pyarrow import parquet as pq
 
+    source, root = _filesystem(src)
     where, base = _filesystem(out_dir)
-    by_schema: dict[bytes, list[tuple[str, int]]] = {}
-    for path, size in zip(small["path"], small["length"], strict=True):
-        src, p = _filesystem(path)
-        with src.open_input_file(p) as f:
-            meta, _ = parquet_blocks.read_footer(f, int(size))
-        by_schema.setdefault(parquet_blocks.signature(meta), []).append((path, int(size)))
+    inside = lambda n: f"{root}/{partition}/{n}".replace("//", "/")
+    by_signature: dict[bytes, list[tuple[str, int]]] = {}
+    for name, size in sorted(small):
+        with source.open_input_file(inside(name)) as f:
+            meta, _ = parquet_blocks.read_footer(f, size)
+        by_signature.setdefault(parquet_blocks.signature(meta), []).append((name, size))
     made = []
-    first = small.iloc[0]
-    folder = f"{base}/{first['partition']}".rstrip("/")
+    folder = f"{base}/{partition}".rstrip("/")
     where.create_dir(folder, recursive=True)
-    for k, (_, members) in enumerate(sorted(by_schema.items())):
-        name = f"{folder}/part-{first['shard']:05d}-{first['output']:05d}-{k}.parquet"
+    for k, (_, members) in enumerate(sorted(by_signature.items())):
+        name = f"{folder}/" + (f"joined-{output:06d}-{k}.parquet" if output is not None else f"copied-{members[0][0]}")
         draft = f"{folder}/_{uuid.uuid4().hex}"  # a task that is run again, or twice, never shows half a file
         with where.open_output_stream(draft) as o:
             j = parquet_blocks.Joiner(o)
-            for path, size in members:
-                src, p = _filesystem(path)
-                with src.open_input_file(p) as f:
+            for n, size in members:
+                with source.open_input_file(inside(n)) as f:
                     j.add(f, size)
             got = j.close()
         with where.open_input_file(draft) as f:
@@ -126,34 +176,32 @@ def _join_group(out_dir: str, small: pd.DataFrame) -> list[dict]:
         if (check.num_rows, check.num_row_groups) != (got["rows"], got["row_groups"]):
             raise parquet_blocks.IncompatibleFiles(f"{name}: rows or blocks differ from the inputs'")
         where.move(draft, name)
-        made.append({"partition": first["partition"], "path": name} | got)
+        made.append({"partition": partition, "path": name} | got)
     return made
 
 
 def compact(spark: SparkSession, src: str, out: str, small: int = SMALL, target: int = TARGET) -> DataFrame:
     """Join the small Parquet files below ``src`` into files below ``out``, directory by directory; files that are large or
-    alone are copied by the same means, so ``out`` is the whole table. Gives a row per file written. The source is left as it is;
-    to be run as an action (it writes when the result is computed)."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(src).select("path", "length")
-    # Names and lengths are known from the listing; without this every few files would be a task of their own.
-    listed = listed.coalesce(4 * spark.sparkContext.defaultParallelism)
-    root = re.sub(r"^file:/*", "file:/", src if ":/" in src else f"file:{src}").rstrip("/")
-    below = F.expr(f"substring(regexp_replace(path, '^file:/*', 'file:/'), {len(root) + 2})")
-    f = listed.select("path", "length", F.xxhash64("path").alias("write_id"), F.lit(1).alias("records"), F.col("length").alias("bytes"), F.regexp_replace(below, r"/?[^/]*$", "").alias("partition"))
-    planned = plan(f, small, target, ("partition",))
-    rest = f.join(planned.select("write_id"), "write_id", "left_anti").withColumn("shard", F.lit(-1).cast("bigint")).withColumn("output", F.col("write_id"))
-    groups = planned.select("partition", "shard", "output", "path", "length").unionByName(rest.select("partition", "shard", "output", "path", "length"))
-    # One row per output: its paths are bounded by target size, so a task never holds more than a few outputs' names.
-    groups = groups.groupBy("partition", "shard", "output").agg(F.collect_list(F.struct("path", "length")).alias("members"))
+    alone are copied by the same means, so ``out`` is the whole table. Gives a row per file written, with the number of the
+    ``task`` that wrote it. The source is left as it is; to be run as an action (it writes when the result is computed; a file
+    that is written again replaces itself)."""
+    f = listing(spark, src).select("partition", "name", "length", F.concat_ws("/", "partition", "name").alias("path"), F.lit(1).alias("records"), F.col("length").alias("bytes"))
+    g = assigned(f, ["partition"], "path", small, target)
+    # One row per output: its names are bounded by the target size, so a task never holds more than a few outputs' names.
+    alone = F.when(F.col("output").isNull(), F.col("path"))
+    g = written(g.groupBy("partition", "output", alone.alias("alone")).agg(F.sort_array(F.collect_list(F.struct("name", "length"))).alias("members"), F.sum("length").alias("bytes")), "outputs")
+    n, size = g.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    # The rows to deal out are names and hardly have a size, so their number of tasks follows from the bytes they stand for. It is
+    # given expressly: left to itself, adaptive execution would fold them into one task.
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         for b in batches:
-            made = []
             for r in b.itertuples(index=False):
-                m = pd.DataFrame([(x["path"], x["length"]) for x in r.members], columns=["path", "length"])
-                m["partition"], m["shard"], m["output"] = r.partition, r.shard, r.output
-                made += _join_group(out, m.sort_values("path"))
-            if made:
-                yield pd.DataFrame(made)[["partition", "path", "files", "row_groups", "rows", "bytes"]]
+                made = _join_group(src, out, r.partition, None if pd.isna(r.output) else int(r.output), [(x["name"], int(x["length"])) for x in r.members])
+                yield pd.DataFrame(made).assign(task=task)[["partition", "path", "files", "row_groups", "rows", "bytes", "task"]]
 
-    return groups.mapInPandas(go, "partition string, path string, files long, row_groups long, rows long, bytes long")
+    return g.select("partition", "output", "members").repartition(tasks).mapInPandas(go, "partition string, path string, files long, row_groups long, rows long, bytes long, task int")

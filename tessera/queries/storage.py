@@ -44,8 +44,8 @@ def p4_returns_compacted(spark: SparkSession, d: str) -> DataFrame:
     small, out = new_path(spark, "small-files"), new_path(spark, "compacted")
     r = table(spark, d, "store_returns")
     r.write.partitionBy("sr_returned_date_sk").parquet(small)
-    made = small_files.compact(spark, small, out).agg(F.sum("rows")).first()[0]
-    back = spark.read.schema(r.schema).parquet(out) if made else r
+    made = small_files.compact(spark, small, out).agg(F.count("path")).first()[0]
+    back = spark.read.schema(r.schema).parquet(out) if made else spark.createDataFrame([], r.schema)
     return back.where("sr_returned_date_sk IS NOT NULL").groupBy(F.col("sr_returned_date_sk").cast("bigint").alias("sr_returned_date_sk")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("sr_ticket_number").alias("tickets"), F.sum("sr_return_amt").cast("double").alias("amount")
     )

@@ -1,7 +1,7 @@
 """Tables written to the shared folder, to cut lineage and to pin down a partitioning.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a
-temporary folder is made. What is written there survives the loss of an executor, unlike a local checkpoint. Tables are
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session on one machine (a master ``local...``) may go
+without and gets a temporary folder; on a cluster its executors would each write into a folder of their own, so that is refused. What is written there survives the loss of an executor, unlike a local checkpoint. Tables are
 removed when the driver's Python ends, or by ``clear``.
 """
 
@@ -17,9 +17,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where none is named."""
+    """The cluster's shared folder, or a local one where none is named and there is only one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

@@ -3,7 +3,8 @@
 The body of each input is copied as it is; only the footer is written anew, with every offset moved by the distance that
 its block moved. Page indexes and Bloom filters come along: column indexes hold no offsets, offset indexes are rewritten.
 Footers are read and written through a small reader and writer of Thrift's compact protocol that keeps fields it does not
-know, so nothing that another writer put into a footer is lost.
+know. What readers go by when they take values (schema, column orders, the writer's name, and the keys of ``READER_KEYS``) has
+to be equal in all inputs and so holds for every block of the output; other key-value pairs are kept if all inputs have them.
 """
 
 from __future__ import annotations
@@ -184,7 +185,8 @@ def put(s: Struct, n: int, kind: int, v: Any) -> None:
 
 
 # Field numbers of Parquet's footer (fixed values of the format).
-META_SCHEMA, META_ROWS, META_GROUPS, META_ORDERS, META_ENCRYPTION = 2, 3, 4, 7, 8
+META_SCHEMA, META_ROWS, META_GROUPS, META_PAIRS, META_WRITER, META_ORDERS, META_ENCRYPTION = 2, 3, 4, 5, 6, 7, 8
+PAIR_KEY, PAIR_VALUE = 1, 2
 GROUP_COLUMNS, GROUP_ROWS, GROUP_OFFSET, GROUP_ORDINAL = 1, 3, 5, 7
 CHUNK_PATH, CHUNK_OFFSET, CHUNK_META, CHUNK_OFFSET_INDEX, CHUNK_OFFSET_INDEX_LENGTH, CHUNK_COLUMN_INDEX, CHUNK_COLUMN_INDEX_LENGTH = 1, 2, 3, 4, 5, 6, 7
 COLUMN_DATA, COLUMN_INDEX_PAGE, COLUMN_DICTIONARY, COLUMN_BLOOM, COLUMN_BLOOM_LENGTH = 9, 10, 11, 14, 15
@@ -207,10 +209,24 @@ def read_footer(f: BinaryIO, size: int) -> tuple[Struct, int]:
     return meta, size - 8 - length
 
 
+#: Beginnings of the keys by which readers decide how values are to be taken (calendar of old dates and of INT96, time zone, types
+#: that the schema can't state). Fixed values of the writers.
+READER_KEYS = (b"org.apache.spark.", b"ARROW:", b"parquet.", b"writer.", b"iceberg.")
+
+
+def _pairs(meta: Struct) -> list[tuple[bytes, bytes | None]]:
+    """Key-value pairs of a footer, by key."""
+    got = field(meta, META_PAIRS)
+    return sorted(((field(p, PAIR_KEY), field(p, PAIR_VALUE)) for p in got[1]), key=lambda p: (p[0], p[1] or b"")) if got else []
+
+
 def signature(meta: Struct) -> bytes:
-    """Files of equal signature (schema and column orders) may be joined."""
+    """Files of equal signature (schema, column orders, writer, keys that readers go by) may be joined."""
     out = bytearray()
-    write_struct(out, [f for f in meta if f[0] in (META_SCHEMA, META_ORDERS)])
+    write_struct(out, [f for f in meta if f[0] in (META_SCHEMA, META_WRITER, META_ORDERS)])
+    for k, v in _pairs(meta):
+        if k.startswith(READER_KEYS):
+            out += struct.pack("<IB", len(k), v is not None) + k + struct.pack("<I", len(v or b"")) + (v or b"")
     return bytes(out)
 
 
@@ -232,6 +248,7 @@ class Joiner:
         self.out, self.at = out, 4
         self.meta: Struct | None = None
         self.sig = b""
+        self.pairs: set[tuple[bytes, bytes | None]] = set()
         self.groups: list[Struct] = []
         self.indexes: list[tuple[Struct, bytes | None, Struct | None]] = []
         self.rows = self.files = 0
@@ -242,9 +259,11 @@ class Joiner:
         meta, end = read_footer(src, size)
         sig = signature(meta)
         if self.meta is None:
-            self.meta, self.sig = meta, sig
+            self.meta, self.sig, self.pairs = meta, sig, set(_pairs(meta))
         elif sig != self.sig:
-            raise IncompatibleFiles("another schema")
+            raise IncompatibleFiles("another schema, writer or way of taking values")
+        else:
+            self.pairs &= set(_pairs(meta))
         groups = field(meta, META_GROUPS)[1]
         if sum(field(g, GROUP_ROWS) for g in groups) != field(meta, META_ROWS):
             raise IncompatibleFiles("row groups don't add up to the file's rows")
@@ -326,6 +345,9 @@ class Joiner:
         if len(self.groups) < 1 << 15:
             for n, g in enumerate(self.groups):
                 put(g, GROUP_ORDINAL, I16, n)
+        if field(self.meta, META_PAIRS):
+            kept = [p for p in field(self.meta, META_PAIRS)[1] if (field(p, PAIR_KEY), field(p, PAIR_VALUE)) in self.pairs]
+            put(self.meta, META_PAIRS, LIST, (STRUCT, kept) if kept else None)
         put(self.meta, META_ROWS, I64, self.rows)
         put(self.meta, META_GROUPS, LIST, (STRUCT, self.groups))
         b = bytearray()

@@ -95,7 +95,7 @@ def test_plan_takes_each_small_file_once(spark):
     f = spark.createDataFrame(rows, "write_id long, table string, partition string, records long, bytes long")
     p = small_files.plan(f, small=1000, target=10_000).toPandas()
     assert sorted(p["write_id"]) == [r[0] for r in rows[:3000]]
-    per = p.groupby(["table", "partition", "shard", "output"])["bytes"].agg(["sum", "count"])
+    per = p.groupby(["table", "partition", "output"])["bytes"].agg(["sum", "count"])
     assert (per["count"] >= 2).all() and (per["sum"] < 16_000).all()
     assert (per[per["sum"] < 5000].reset_index()["partition"] != "hot").all()
     assert small_files.plan(f.limit(0)).count() == 0
@@ -103,9 +103,61 @@ def test_plan_takes_each_small_file_once(spark):
 
 def test_hot_partitions_are_split(spark):
     f = spark.range(1000).selectExpr("id AS write_id", "IF(id < 900, 'hot', CAST(id AS STRING)) AS p")
-    s = small_files.sharded(f, ["p"], f["write_id"], shard_rows=100)
-    assert s.count() == 1000 and s.where("p = 'hot'").select("shard").distinct().count() == 9
-    assert s.where("p <> 'hot'").select("shard").distinct().count() == 1
+    s = small_files.sharded(f, ["p"], f["write_id"], 1000, shard_rows=100)
+    per = {(r["p"], r["shard"]): r["count"] for r in s.groupBy("p", "shard").count().collect()}
+    assert sum(per.values()) == 1000 and max(per.values()) <= 100 + 60 and sum(p == "hot" for p, _ in per) >= 8
+    assert all(k == 0 for p, k in per if p != "hot")
+
+
+def test_plan_is_the_same_however_files_are_dealt_out(spark, monkeypatch):
+    """The outputs of a hot partition stay of even size when its files lie in many buckets."""
+    f = spark.range(4000).selectExpr("id AS write_id", "'t' AS table", "IF(id < 3000, 'hot', CAST(id % 100 AS STRING)) AS partition", "1L AS records", "1 + id % 97 AS bytes")
+    monkeypatch.setattr(small_files, "SHARD_FILES", 50)
+    p = small_files.plan(f, small=1000, target=5_000).toPandas()
+    per = p.groupby(["partition", "output"])["bytes"].agg(["sum", "count"]).reset_index()
+    assert len(p) == 4000 and p["write_id"].is_unique and (per["count"] >= 2).all()
+    hot = per[per["partition"] == "hot"]["sum"]
+    assert len(hot) == round(sum(1 + i % 97 for i in range(3000)) / 5_000) and hot.min() > 4_500 and hot.max() < 5_500
+
+
+def test_copying_is_dealt_out_over_tasks(spark, tmp_path):
+    """Many small files: their outputs are written by many tasks, not by one that adaptive execution folded them into."""
+    src, one = tmp_path / "src", encoded(pa.table({"a": pa.array(range(10))}))
+    for k in range(2000):
+        (src / f"p={k % 11}").mkdir(parents=True, exist_ok=True)
+        (src / f"p={k % 11}" / f"f{k}.parquet").write_bytes(one)
+    made = small_files.compact(spark, str(src), str(tmp_path / "out")).toPandas()
+    assert len(made) == 11 and made["files"].sum() == 2000 and made["rows"].sum() == 20_000
+    assert made["task"].nunique() >= 6
+
+
+def test_listing(spark, tmp_path):
+    for n in ("a.parquet", "x/b c%3D.parquet", "x/_hidden/c.parquet", "x/_SUCCESS", "x/.d.parquet", "x/_k=1/e.parquet", "y/z/f.parquet", "y/g.csv"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"12345")
+    got = sorted(tuple(r) for r in small_files.listing(spark, f"file:{tmp_path}").collect())
+    assert got == [("", "a.parquet", 5), ("x", "b c%3D.parquet", 5), ("x/_k=1", "e.parquet", 5), ("y/z", "f.parquet", 5)]
+    (tmp_path / "none").mkdir()
+    assert small_files.compact(spark, str(tmp_path / "none"), str(tmp_path / "out")).count() == 0
+
+
+def test_files_that_readers_take_differently_stay_apart(spark, tmp_path):
+    """A file marked for the old calendar isn't joined with others; keys that say nothing about values don't matter."""
+    t = pa.table({"a": pa.array([1, 2])})
+    mark = lambda **kv: encoded(t.replace_schema_metadata(kv))
+    old, plain, other = mark(**{"org.apache.spark.legacyDateTime": "", "x": "1"}), mark(x="1"), mark(x="1", y="2")
+    with pytest.raises(pb.IncompatibleFiles):
+        joined([plain, old])
+    data, _ = joined([plain, plain])
+    assert pq.ParquetFile(io.BytesIO(data)).metadata.metadata[b"x"] == b"1"
+    (tmp_path / "src").mkdir()
+    for k, f in enumerate([old, plain, old, plain]):
+        (tmp_path / "src" / f"{k}.parquet").write_bytes(f)
+    small_files.compact(spark, str(tmp_path / "src"), str(tmp_path / "out")).collect()
+    marks = sorted(b"org.apache.spark.legacyDateTime" in pq.ParquetFile(f).metadata.metadata for f in (tmp_path / "out").glob("*.parquet"))
+    assert marks == [False, True]
+    with pytest.raises(pb.IncompatibleFiles):  # pyarrow's own schema key differs, too
+        joined([plain, other])
 
 
 def test_directory_is_compacted_without_loss(spark, tmp_path):
