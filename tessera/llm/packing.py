@@ -6,8 +6,10 @@ group, batches are formed bucket by bucket, from the largest sizes to the smalle
 buckets left open (tightest fit first), then fill batches of their own up to the capacity. An item is only cut if it exceeds
 the capacity, into the least number of pieces: all but the last fill a container each, the last is packed like an item.
 
-Small groups that then take more containers than the sum of their sizes needs are filled anew, each container by the best of
-all subsets. A group of more than ``SHARD_ITEMS`` items is packed in parts of about that many, at a cost of less than one container a part.
+Where a group then takes more containers than the sum of its sizes needs, its least filled containers (those that hold
+``POOL`` items in all) are filled anew, each by the best of all subsets; that costs a group about a millisecond for each of them,
+whatever its size. A group of more than about ``SHARD_ITEMS`` items is packed in parts of about that many, at a cost of less than
+one container a part.
 
 Defined cases: items without a positive size, or with a null size or identifier, are not packed; null groups are a group;
 items of equal size are taken in the order of their identifiers; an empty table gives no row.
@@ -25,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.small_files import sharded
+from ..scratch import written
 
 #: Bins for each doubling of the size; sizes below 2**62 need 62 * BINS bins at most.
 BINS = 16
 BUCKETS = 16
-SHARD_ITEMS = 100_000
-#: Items of a group up to which better fillings are searched for among all subsets.
-EXACT_ITEMS = 36
+SHARD_ITEMS = 50_000
+#: Items that one task packs, on average.
+TASK_ITEMS = 10_000
+#: Items of the least filled containers for which a better filling is searched for among all subsets.
+POOL = 24
 
 
 def histogram(items: DataFrame, size: str) -> pd.DataFrame:
@@ -118,28 +123,38 @@ def fullest(sizes: Sequence[int], space: int) -> list[int]:
 
 
 def tighten(sizes: np.ndarray, numbers: np.ndarray, capacity: int) -> np.ndarray:
-    """Container numbers for a group of at most EXACT_ITEMS sizes in descending order: if ``numbers`` take more containers than
-    their sum needs, each container is filled anew as well as any subset can; what takes fewer containers is kept."""
+    """Container numbers for a group of sizes in descending order: if ``numbers`` take more containers than the sum needs, the least
+    filled ones, with POOL items in all, are filled anew as well as any subset can; what takes fewer containers is kept."""
     used = int(numbers.max(initial=-1)) + 1
-    if len(sizes) > EXACT_ITEMS or used <= -(-int(sizes.sum()) // capacity):
+    if used <= -(-int(sizes.sum()) // capacity):
         return numbers
-    out, left, made = np.empty_like(numbers), list(range(len(sizes))), 0
-    while left and made < used:
+    load = np.zeros(used, np.int64)
+    np.add.at(load, numbers, sizes)
+    order = np.argsort(load, kind="stable")
+    some = order[np.cumsum(np.bincount(numbers, minlength=used)[order]) <= POOL]
+    if len(some) <= -(-int(load[some].sum()) // capacity):
+        return numbers
+    left, made = np.flatnonzero(np.isin(numbers, some)).tolist(), 0
+    out = numbers.copy()
+    while left and made < len(some):
         rest = left[1:]
         chosen = [left[0], *(rest[i] for i in fullest([int(sizes[r]) for r in rest], capacity - int(sizes[left[0]])))]
-        out[chosen] = made
+        out[chosen] = some[made]
         made += 1
         gone = set(chosen)
         left = [i for i in left if i not in gone]
-    return out if not left and made < used else numbers
+    return np.unique(out, return_inverse=True)[1] if not left and made < len(some) else numbers
 
 
 def pack(items: DataFrame, groups: Sequence[str], item: str, size: str, capacity: int) -> DataFrame:
-    """Columns ``groups``, ``item``, piece_no (from 1), pieces (of the item), piece_size and container (unique in the group)."""
+    """Columns ``groups``, ``item``, piece_no (from 1), pieces (of the item), piece_size and container (unique in the group).
+    ``items`` are computed once and written; histogram, number of rows and packing come from that table."""
     groups = list(groups)
     keys = [f"g{i}" for i in range(len(groups))]
     x = items.where((F.col(size) > 0) & F.col(item).isNotNull())
     x = x.select(*[F.col(g).cast("string").alias(k) for g, k in zip(groups, keys, strict=True)], F.col(item).alias("item"), F.col(size).cast("bigint").alias("size"))
+    x = written(x, "items")
+    rows = x.count()
     cap = F.lit(capacity).cast("bigint")
     pieces = F.expr(f"(size + {capacity - 1}L) div {capacity}L")
     x = x.withColumn("pieces", pieces).withColumn("piece_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("pieces"))))
@@ -147,9 +162,10 @@ def pack(items: DataFrame, groups: Sequence[str], item: str, size: str, capacity
     full = x.where(F.col("piece_size") == cap).withColumn("container", F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), F.col("piece_no").cast("string")))
     rest = x.where(F.col("piece_size") < cap)
     bounds = boundaries(histogram(rest, "piece_size"))
-    rest = sharded(rest, keys, F.struct("item", "piece_no"), SHARD_ITEMS)
+    rest = sharded(rest, keys, F.struct("item", "piece_no"), rows, SHARD_ITEMS)
     order = [*keys, "shard"]
-    rest = rest.repartition(*order).sortWithinPartitions(*order, F.col("piece_size").desc(), "item", "piece_no")
+    # An express number of tasks: rows of a few bytes that take Python's time to pack would otherwise be folded into few tasks.
+    rest = rest.repartition(max(x.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ITEMS)), *order).sortWithinPartitions(*order, F.col("piece_size").desc(), "item", "piece_no")
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def packed(g: pd.DataFrame) -> pd.DataFrame:

@@ -155,12 +155,25 @@ def p5_partitions(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.col("table").alias("table_path"), F.col("partition").alias("partition_id")).agg(F.count(F.lit(1)).alias("files"), F.sum("b").alias("bytes"))
 
 
-@query()
+def _containers(spark: SparkSession, d: str) -> DataFrame:
+    c = _packed(spark, d).groupBy("table", "partition", "container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("piece_size").alias("b"))
+    g = c.groupBy(F.col("table").alias("table_path"), F.col("partition").alias("partition_id")).agg(F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("b").alias("bytes"), F.max("b").alias("fullest"))
+    return g.withColumn("least", F.ceil(F.col("bytes") / CAPACITY))
+
+
+@query(_FILES + """SELECT t AS table_path, p AS partition_id, CAST(sum(ceil(bytes / 134217728.0)) AS BIGINT) AS pieces, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(ceil(sum(bytes) / 134217728.0) AS BIGINT) AS least,
+ true AS none_overfull, true AS under_twice_the_least FROM f WHERE bytes > 0 GROUP BY 1, 2""")
 def p5_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Per partition: containers used, the least number possible, and the space filled."""
-    c = _packed(spark, d).groupBy("table", "partition", "container").agg(F.sum("piece_size").alias("b"))
-    g = c.groupBy("table", "partition").agg(F.count(F.lit(1)).alias("containers"), F.sum("b").alias("bytes"), F.max("b").alias("fullest"))
-    return g.withColumn("least", F.ceil(F.col("bytes") / CAPACITY)).withColumn("filled", F.col("bytes") / (F.col("containers") * F.lit(CAPACITY)))
+    """Per partition: pieces and bytes packed and the least number of containers; none holds more than its capacity, and there
+    are fewer than twice the least (of two containers, the later was opened for a piece that the earlier had no space for)."""
+    g = _containers(spark, d)
+    return g.select("table_path", "partition_id", "pieces", "bytes", "least", (F.col("fullest") <= CAPACITY).alias("none_overfull"), (F.col("containers") < 2 * F.col("least")).alias("under_twice_the_least"))
+
+
+@query()
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Per partition: containers used, the least number possible, and the share of space filled."""
+    return _containers(spark, d).select("table_path", "partition_id", "containers", "least", (F.col("bytes") / (F.col("containers") * F.lit(CAPACITY))).alias("filled"))
 
 
 # --- 6: leaked test items ----------------------------------------------------------------------------------------------
