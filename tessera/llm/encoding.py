@@ -1,10 +1,16 @@
 """Problem 8: text that was decoded with the wrong character encoding.
 
 Round-trip repair: a run of a text is encoded again under each candidate legacy encoding and strictly decoded as the encoding
-that was intended (UTF-8, or a Japanese or Chinese one for whole lines); the result is kept if its garbling cost is lower, and
-the repair starts anew until nothing more is gained, so nested layers come off one by one. Escaped entities are one more layer.
-The garbling cost of a run is the summed weight of its characters (``weight``): what rarely stands in sound text (controls,
-replacement and private characters, letters of scripts that don't belong together) weighs most.
+that was intended (UTF-8; for whole lines also an East Asian or another single-byte one); the result is kept if its garbling cost
+is lower, and the repair starts anew until nothing more is gained, so nested layers come off one by one. Escaped entities are one
+more layer. The garbling cost of a run is the summed weight of its characters (``weight``): what rarely stands in sound text
+(controls, replacement and private characters, letters of scripts that don't belong together) weighs most.
+
+What is restored has to make words, whatever the language (``_fits``): the letters of a word are of one script, marks follow
+letters, letters of rarer alphabets stand within words of their case. An encoding whose signs are themselves letters (Cyrillic,
+Greek) has to explain a whole run; otherwise sound words of those scripts would be taken apart. Lines are given another
+single-byte reading only if their words can't be sound (letters of two scripts, or signs, within words; words of nothing but
+accented letters) and are sound afterwards. What can't be settled that way is left as it is.
 
 A text is a case if a run of it can be repaired, or if it shows garbled characters that can't be (replacement characters,
 C1 controls). Garbled characters that are printed as an example don't count: a run that fills a pair of sound quotation marks.
@@ -18,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,15 +38,27 @@ from ..parallel import spread
 SINGLE = ("cp1252", "latin_1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "koi8_r", "cp866", "iso8859_2", "iso8859_15", "cp1254", "cp1257", "cp1253")
 DOUBLE = ("gb18030", "cp932", "big5", "cp949", "euc_jp")
 #: Encodings of whole lines that were taken for a single-byte one.
-INTENDED = ("cp932", "euc_jp", "gb18030")
+INTENDED = ("cp932", "euc_jp", "gb18030", "cp949")
+#: Single-byte encodings whose upper half holds another script's letters.
+LETTERS = ("cp1251", "koi8_r", "cp866", "cp1253")
+#: Encodings of other scripts that are taken for a Western one.
+OTHER = ("cp1251", "koi8_r", "iso8859_5", "cp1253", "cp1255", "cp1256")
+#: The ten commonest letters of texts in those scripts (fixed values).
+USUAL_LETTERS = {"CYRILLIC": "оеаинтсрвл", "GREEK": "αοιετσνηυρ", "HEBREW": "יוהלאמרתבש", "ARABIC": "اليمنرتوبع"}
 #: Single-byte encodings that are taken for another one.
 LEGACY = ("koi8_r", "cp437", "cp850", "mac_roman", "cp1251", "cp866", "cp1253", "cp1250", "cp1257", "cp1252", "iso8859_2")
-MAX_LAYERS = 4
+MAX_LAYERS = 16
 
 _ASCII = frozenset(map(chr, range(128)))
 # Letters and signs of sound Latin text beside ASCII (fixed values).
 _EXPECTED = frozenset("äöüßÄÖÜẞéèàâêëîïôûùüÿçœæÉÈÀÂÊËÎÏÔÛÙÇŒÆáíóúñÁÍÓÚÑìòÌÒãõÃÕåøÅØ¿¡«»“”„‘’‚‹›…–—°±µμ²³¹½¼¾·×÷§©®™€£¥ªº′″%‰†‡•−ﬁﬂ\xa0\xad\u2009")
 _FEW = frozenset("œŒšŠžŽŸčČćĆđĐłŁńŃęĘąĄśŚźŹżŻěĚřŘůŮőŐűŰğĞıİşŞăĂ")
+# Living scripts, by the first word of their letters' names, and letters of Latin alphabets beyond U+017F (fixed values).
+_LIVING = frozenset("LATIN GREEK CYRILLIC ARMENIAN GEORGIAN HEBREW ARABIC DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR KHMER ETHIOPIC HANGUL EAST".split())
+_EAST = frozenset("CJK HIRAGANA KATAKANA KATAKANA-HIRAGANA FULLWIDTH HALFWIDTH IDEOGRAPHIC BOPOMOFO".split())
+_LATER_LATIN = frozenset("ƠơƯưȘșȚțẞ")
+# Scripts whose letters stand next to Latin ones without a space.
+_MIXING = frozenset(("GREEK", "EAST", "HANGUL", "THAI", "LAO"))
 _ENTITY = re.compile(r"&#?[A-Za-z0-9]+;")
 # What UTF-8 becomes: two signs or more in a row, or one of an East Asian script.
 _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
@@ -47,12 +66,14 @@ _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
 _USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，")
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
 _LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
-_STRANGE = "[^\x00-\xbf\u2000-\u22ff\u2e80-\uffdc" + re.escape("".join(c for c in _EXPECTED if c > "\xbf")) + "]"
-_IN_WORD = re.compile(f"[A-Za-z]{_STRANGE}|{_STRANGE}[A-Za-z]|[a-z][²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑][a-z]")
+# Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones.
+_ODD = re.compile("[A-Za-z][\u0400-\u052f]|[\u0400-\u052f][A-Za-z]|[A-Za-z][\u0370-\u03ff\u2500-\u25ff][A-Za-z]|[A-Za-z][²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§][a-z]")
+_ACCENTED = re.compile("[À-ÖØ-öø-ÿ]{4,}")
+_HIGH = re.compile("[\x80-\u036f\u2010-\u22ff]{4}")
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«", '"': '"', "'": "'", "「": "」", "『": "』", "‹": "›"}
 _CLOSING = frozenset("".join(_QUOTES.values()))
 MEMO = 200_000
-_memo: dict[str, str | None] = {}
+_memo: dict[str, tuple[str, ...]] = {}
 
 
 @cache
@@ -105,25 +126,75 @@ def cost(text: str) -> float:
 
 
 @cache
-def _plausible(c: str) -> bool:
-    """Whether a decoded character may stand in sound text of Latin, Greek, Cyrillic or Japanese and Chinese writing."""
+def _script(c: str) -> str:
+    """The script of a letter or mark; empty for other characters and for marks of any script."""
+    if unicodedata.category(c)[0] not in "LM" or c in "ªºµ" or "\u2100" <= c < "\u2150":
+        return ""
+    name = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+    return "EAST" if name in _EAST else "" if name in ("COMBINING", "MODIFIER", "VARIATION") else name
+
+
+@cache
+def _common(c: str) -> bool:
+    """Whether a decoded character is a usual one of Latin, Greek, Cyrillic or Japanese and Chinese writing."""
     o = ord(c)
     if o < 0x80:
         return o >= 0x20 or c in "\t\n\r"
     if 0x80 <= o < 0xA0 and o != 0x80:
         return True  # a layer may still be below
-    if c in ("﻿", "​"):
+    if c in ("\ufeff", "\u200b"):
         return True
-    name = unicodedata.category(c)
-    if name in ("Cn", "Co", "Cs", "Mn", "Mc", "Me"):
+    if unicodedata.category(c) in ("Cn", "Co", "Cs", "Mn", "Mc", "Me"):
         return False
     return o < 0x100 or c in _FEW or o in (0x192, 0x2C6, 0x2DC) or 0x391 <= o < 0x3CA or 0x401 <= o < 0x460 or 0x2000 <= o < 0x2760 or 0x27E0 <= o < 0x2A00 or 0x3000 <= o < 0x3400 or 0x4E00 <= o < 0xA000 or 0xFB00 <= o < 0xFB07 or 0xFF00 <= o < 0xFFEF
 
 
+@cache
+def _plausible(c: str) -> bool:
+    """Whether a decoded character may stand in sound text of any language in use."""
+    if _common(c):
+        return True
+    kind, script = unicodedata.category(c), _script(c)
+    if kind[0] == "M":
+        return script in _LIVING or "\u0300" <= c < "\u0329" or "\ufe00" <= c < "\ufe10"
+    if kind[0] == "L":
+        return script in _LIVING and (script != "LATIN" or c < "\u0180" or c in _LATER_LATIN or "\u1ea0" <= c < "\u1efa")
+    # Digits, punctuation and signs of those scripts, joiners, and pictures.
+    if kind in ("Nd", "Po", "Pd", "Sc"):
+        return unicodedata.name(c, "").split(" ")[0] in _LIVING
+    return kind == "Cf" and "\u200b" <= c < "\u2070" or c >= "\U0001f000" and kind in ("So", "Sk")
+
+
 def _gain(old: str, new: str) -> bool:
     return all(map(_plausible, new)) and cost(new) < cost(old)
 
 
+def _fits(before: str, old: str, new: str, after: str) -> int:
+    """Whether ``new`` in place of ``old`` makes words, between the characters before and after it: 0 no, 1 if its line holds more
+    of the kind, 2 yes."""
+    s = f"{before or ' '}{new}{after or ' '}"
+    scripts = [_script(c) for c in s]
+    for k in range(1, len(s)):
+        a, b, mark = scripts[k - 1], scripts[k], unicodedata.category(s[k])[0] == "M"
+        if mark and (unicodedata.category(s[k - 1])[0] not in "LM" or a and b and a != b):
+            return 0
+        if a and b and a != b and not ("LATIN" in (a, b) and ({a, b} & _MIXING) and (s[k - 1] < "\x80" or s[k] < "\x80")):
+            return 0
+    # Two letters of another script can be a word of it.
+    if len(new) == 1 and len(old) == 2 and all(_script(c) in ("CYRILLIC", "GREEK") for c in old) and not (before + after).strip().isalpha():
+        return 1 if scripts[1] else 0
+    for k in range(1, len(s) - 1):
+        c = s[k]
+        if _common(c) and c not in _FEW or not scripts[k] or scripts[k] == "EAST":
+            continue
+        near = [x for x, script in ((s[k - 1], scripts[k - 1]), (s[k + 1], scripts[k + 1])) if script == scripts[k] or script == "" and unicodedata.category(x)[0] == "M"]
+        if not near and (scripts[k] == "LATIN" or len(old) < 3):  # Å² is a unit; a letter of a rarer alphabet stands in a word
+            return 1
+        if scripts[k] == "LATIN" and c.islower() and len(near) == 1 and near[0].isupper() and s[k - 1] == near[0] and k > 1:
+            return 0
+    return 2
+
+
 def _quoted(text: str, start: int, end: int) -> bool:
     """Whether the signs around a run fill a pair of quotation marks: an example, printed on purpose."""
     while start and text[start - 1] > "\x7f" and text[start - 1] not in _QUOTES:
@@ -138,8 +209,8 @@ def _quoted(text: str, start: int, end: int) -> bool:
 
 
 def _best(run: str) -> str | None:
-    """The run with one layer undone by the candidate that gains most, or None."""
-    best, gained = None, 0.0
+    """The run with one layer undone by the candidate that gains most, one that explains all of the run before others; or None."""
+    best, gained = None, (False, 0.0)
     signs = set(run)
     for e in SINGLE:
         pattern, leads, mores = _pattern(e)
@@ -153,8 +224,13 @@ def _best(run: str) -> str | None:
             return new if new is not None and _gain(old, new) else old
 
         new = pattern.sub(undo, run)
-        if new != run and cost(run) - cost(new) > gained:
-            best, gained = new, cost(run) - cost(new)
+        if new != run and cost(new) < cost(run):
+            rest = pattern.sub("", run)
+            left = sum(map(str.isalpha, rest))
+            kept = [m for m in pattern.finditer(run) if undo(m) == m.group()]
+            if e in LETTERS and (left or kept) or left > len(new) - len(rest) or kept and left:
+                continue  # letters of a sound word, or of another encoding, among them
+            best, gained = max((best, gained), (new, (not rest and not kept, cost(run) - cost(new))), key=lambda x: x[1])
     if best is None and max(run) >= "⺀":
         # Han signs among ASCII, without kana, weigh like strange letters.
         own = 2.0 * len(run) if not any("぀" <= c < "㄀" for c in run) else cost(run)
@@ -163,48 +239,75 @@ def _best(run: str) -> str | None:
                 new = run.encode(e).decode("utf-8")
             except UnicodeError:
                 continue
-            if all(map(_plausible, new)) and own - cost(new) > gained:
-                best, gained = new, own - cost(new)
+            if all(map(_common, new)) and own - cost(new) > gained[1]:
+                best, gained = new, (True, own - cost(new))
     return best
 
 
+def _layers(run: str) -> tuple[str, ...]:
+    """What the run becomes as one layer after the other is undone. Runs recur, so short ones are remembered."""
+    if run in _memo:
+        return _memo[run]
+    out: list[str] = []
+    while len(out) < MAX_LAYERS and (new := _best(out[-1] if out else run)) is not None:
+        out.append(new)
+    if len(_memo) >= MEMO:
+        _memo.clear()
+    if len(run) < 32:
+        _memo[run] = tuple(out)
+    return tuple(out)
+
+
+def _kinds(s: str) -> set[str]:
+    """Scripts of a string's letters; those of rarer Latin alphabets apart."""
+    return {"RARE" if script == "LATIN" and (not _common(c) or c in _FEW) else script for c in s if (script := _script(c))}
+
+
 def _runs(text: str) -> tuple[str, int]:
-    """Undo one layer in every run that allows it. Runs recur, so what becomes of them is remembered."""
+    """Undo as many layers of every run as leave words behind."""
     n = 0
+    sure: dict[int, set[str]] = {}  # what was restored, by line
+    rest = False
 
     def undo(m: re.Match) -> str:
-        nonlocal n
+        nonlocal n, rest
         run = m.group()
-        if run in _memo:
-            new = _memo[run]
-        else:
-            new = _best(run)
-            if len(_memo) >= MEMO:
-                _memo.clear()
-            if len(run) < 32:
-                _memo[run] = new
-        if new is None or _quoted(text, m.start(), m.end()):
+        layers = _layers(run)
+        if not layers or _quoted(text, m.start(), m.end()):
             return run
-        n += 1
-        return new
-
-    return _RUN.sub(undo, text), n
+        before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        for k in range(len(layers), 0, -1):
+            new = layers[k - 1]
+            fits = _fits(before, layers[k - 2] if k > 1 else run, new, after)
+            if fits == 1:
+                rest = True
+                fits = 2 if _kinds(new) <= sure.get(text.rfind("\n", 0, m.start()), set()) else 0
+            if fits:
+                n += k
+                sure.setdefault(text.rfind("\n", 0, m.start()), set()).update(_kinds(new))
+                return new
+        return run
+
+    out = _RUN.sub(undo, text)
+    if rest and sure:  # single letters that stand before the words that settle them
+        n = 0
+        out = _RUN.sub(undo, text)
+    return out, n
 
 
 def _legacy(text: str) -> tuple[str, int]:
-    """Undo readings of one single-byte encoding as another in lines whose words mix letters that don't belong together: the
-    line is kept if every sign of it is then an expected one."""
+    """Undo readings of one single-byte encoding as another in lines that hold words which can't be sound: the line is kept if
+    every sign of it is then an expected one and no such word is left."""
     out, fixed = [], 0
     for line in text.split("\n"):
         strange = [] if line.isascii() else [c for c in line if c > "\x7f" and c not in _EXPECTED]
-        if len(strange) >= 2 and len(_IN_WORD.findall(line)) >= 2:
+        # Three letters of another script in a row are a word of that script.
+        if len(strange) >= 2 and len(_ODD.findall(line)) >= 2 and not _FOREIGN.search(line):
             for wrong in LEGACY:
-                table = _bytes(wrong)
-                try:
-                    raw = bytes(ord(c) if c < "\x80" else table[c] for c in line)
-                except KeyError:
+                raw = _raw(line, wrong)
+                if raw is None:
                     continue
-                new = next((n for n in (_decoded(raw, right) for right in ("cp1252", "mac_roman", "cp850") if right != wrong) if n and all(c < "\x80" or c in _EXPECTED for c in n)), None)
+                new = next((n for n in (_decoded(raw, right) for right in ("cp1252", "mac_roman", "cp850") if right != wrong) if n and all(c < "\x80" or c in _EXPECTED for c in n) and not _ODD.search(n)), None)
                 if new:
                     line, fixed = new, fixed + 1
                     break
@@ -212,6 +315,58 @@ def _legacy(text: str) -> tuple[str, int]:
     return "\n".join(out), fixed
 
 
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]{3}")
+
+
+def _raw(line: str, encoding: str) -> bytes | None:
+    """The line's bytes under a single-byte encoding, or None."""
+    table = _bytes(encoding)
+    try:
+        return bytes(ord(c) if c < "\x80" else table[c] for c in line)
+    except KeyError:
+        return None
+
+
+def _breaks(line: str) -> int:
+    """Places in words where the script changes, or a capital follows a small letter."""
+    return sum(a.isalpha() and b.isalpha() and (_script(a) != _script(b) or a.islower() and b.isupper()) for a, b in zip(line, line[1:]))
+
+
+def _other_script(text: str) -> tuple[str, int]:
+    """Undo a Western reading of lines in another script: their words are of nothing but accented letters."""
+    out, fixed = [], 0
+    for line in text.split("\n"):
+        words = [] if line.isascii() else _ACCENTED.findall(line)
+        if len(words) >= 2 and 2 * sum(map(len, words)) >= sum(map(str.isalpha, line)):
+            for wrong in ("cp1252", "latin_1"):
+                raw = _raw(line, wrong)
+                if raw is None:
+                    continue
+                read = [n for n in (_decoded(raw, right) for right in OTHER) if n and all(map(_plausible, n)) and not any("\x80" <= c < "\xa0" for c in n) and not _breaks(n)]
+                shares = sorted(((_usual(n), n) for n in read), reverse=True)
+                if shares and shares[0][0] >= 0.5 and (len(shares) == 1 or shares[0][0] > shares[1][0]):
+                    line, fixed = shares[0][1], fixed + 1
+                    break
+        out.append(line)
+    return "\n".join(out), fixed
+
+
+def _usual(line: str) -> float:
+    """The share of common letters among those of the line's script."""
+    letters = [c for c in line.lower() if c > "\x7f" and c.isalpha()]
+    script = Counter(map(_script, letters)).most_common(1)[0][0] if letters else ""
+    return sum(unicodedata.normalize("NFD", c)[0] in USUAL_LETTERS.get(script, "") for c in letters) / max(1, len(letters))
+
+
+def _east(n: str | None, intended: str) -> bool:
+    """Whether a decoded line reads as East Asian text."""
+    if not n:
+        return False
+    if intended == "cp949":
+        return 2 * sum("가" <= c <= "힣" for c in n) >= sum(c > "\x7f" for c in n)
+    return sum("぀" <= c < "ꀀ" for c in n) * 2 >= len(n) and not _USUAL.isdisjoint(n)
+
+
 def _lines(text: str) -> tuple[str, int]:
     """Undo a single-byte reading of lines of a double-byte encoding."""
     out, fixed = [], 0
@@ -219,14 +374,12 @@ def _lines(text: str) -> tuple[str, int]:
         high = 0 if line.isascii() else len(line) - len(line.encode("ascii", "ignore"))
         if high >= 4 and high * 4 >= len(line) and not any("぀" <= c < "ꀀ" for c in line):
             for e in ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251"):
-                table = _bytes(e)
-                try:
-                    raw = bytes(ord(c) if c < "\x80" else table[c] for c in line)
-                except KeyError:
+                raw = _raw(line, e)
+                if raw is None:
                     continue
                 if _decoded(raw, "utf-8") is not None:
                     break  # a layer of UTF-8, undone run by run
-                new = next((n for n in (_decoded(raw, i) for i in INTENDED) if n and _gain(line, n) and sum("぀" <= c < "ꀀ" for c in n) * 2 >= len(n) and not _USUAL.isdisjoint(n)), None)
+                new = next((n for n, i in ((_decoded(raw, i), i) for i in INTENDED) if _east(n, i) and _gain(line, n)), None)
                 if new:
                     line, fixed = new, fixed + 1
                     break
@@ -254,10 +407,14 @@ def repair(text: str) -> tuple[str, int, int]:
         text, n = _lines(text) if not _LOST_SIGNS.isdisjoint(signs) else (text, 0)
         if not n:
             text, n = _runs(text)
-        if not n and any(c < "⺀" for c in signs - _EXPECTED) and _IN_WORD.search(text):
+        if not n and any(c < "⺀" for c in signs - _EXPECTED) and _ODD.search(text):
             text, n = _lines(text)
             if not n:
                 text, n = _legacy(text)
+        if not n and _HIGH.search(text):
+            text, n = _lines(text)
+            if not n:
+                text, n = _other_script(text)
         if not n:
             break
         fixed += n

@@ -160,6 +160,46 @@ def test_sound_texts(text):
     assert encoding.repair(text) == (text, 0, 0)
 
 
+LANGUAGES = {
+    "Turkish": ["Muş ve Maraş şehri", "Şişli için güzel bir gün, çağrı İstanbul’da ışık"], "Czech": ["Škoda žluť", "Příliš žluťoučký kůň úpěl ďábelské ódy", "MŮŽE PŘÍŠTĚ NÍŽE"],
+    "Romanian": ["Această invenție se referă la țesături și mașini"], "Polish": ["Zażółć gęślą jaźń", "ŻÓŁĆ ŹRÓDŁO"], "Hungarian": ["Árvíztűrő tükörfúrógép", "Az ő űrhajója"],
+    "Ukrainian": ["Спосіб обробки її хімії та змії"], "Russian": ["Способ обработки материала, её свойства", "Её ёлка в 23 °C и № 5"], "Serbian": ["Уређај према захтеву, ћуприја и џак"], "Bulgarian": ["Устройство съгласно претенция"],
+    "Vietnamese": ["Thiết bị được sử dụng để đo nhiệt độ", "Người Việt Nam ở Hà Nội"], "Korean": ["장치는 회전자를 포함한다"], "Arabic": ["يتعلق الاختراع بجهاز قياس"], "Hebrew": ["ההמצאה מתייחסת להתקן"],
+    "Hindi": ["यह आविष्कार एक उपकरण से संबंधित है"], "Thai": ["อุปกรณ์ตามข้อถือสิทธิ"], "Greek": ["Η συσκευή μέτρησης της θερμοκρασίας", "ΤΑΊΝΙΑ ΜΊΑ Ή ΌΧΙ"], "Georgian": ["მოწყობილობა საქართველო"], "Chinese": ["本发明涉及一种装置"],
+    "Icelandic": ["Það er ætlað að þjóna ýmsum"],
+}
+
+
+@pytest.mark.parametrize("text", [*(t for ts in LANGUAGES.values() for t in ts), "模", "5 Å², Å³ und Ø±0,1 für", "CAFÉ™ DÉJÀ… QUALITÉ»", "Её", "Ті Сі Рік", "ņ ģ ķ", "a×b and c×d", "TNFα and kΩ"])
+def test_sound_texts_of_other_languages(text):
+    assert encoding.repair(text) == (text, 0, 0)
+
+
+@pytest.mark.parametrize("enc", ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437"])
+@pytest.mark.parametrize("language", LANGUAGES)
+def test_other_languages_are_restored(language, enc):
+    for text in LANGUAGES[language]:
+        assert encoding.repair(misread(text, enc))[0] == text
+        if enc in ("cp1252", "latin_1", "cp1251"):
+            assert encoding.repair(misread(misread(text, "cp1252"), enc))[0] == text
+
+
+@pytest.mark.parametrize("text,right,wrong", [
+    ("Способ обработки материала", "cp1251", "cp1252"), ("Способ обработки материала", "koi8_r", "cp1252"), ("본 발명은 밸브 장치에 관한 것이다", "cp949", "latin_1"), ("يتعلق الاختراع بجهاز قياس", "cp1256", "cp1252"),
+    ("Η συσκευή μέτρησης της θερμοκρασίας", "cp1253", "cp1252"), ("ההמצאה מתייחסת להתקן", "cp1255", "cp1252"),
+])
+def test_lines_of_other_encodings(text, right, wrong):
+    table = {b: c for c, b in encoding._bytes(wrong).items()}
+    assert encoding.repair("".join(chr(b) if b < 0x80 else table[b] for b in text.encode(right)))[0] == text
+
+
+def test_many_layers():
+    text = bad = "die Größe"
+    for _ in range(6):
+        bad = misread(bad, "cp1252")
+    assert encoding.repair(bad)[0] == text
+
+
 def test_rows_are_kept_whole(spark):
     rows = [(1, misread(SOUND[0], "cp1252"), 5), (2, SOUND[0], 5), (3, None, 5), (4, "", 5), (5, "x " * 200_000 + misread(SOUND[1], "cp1252"), 5), (6, "lost � sign", 5), (1, misread(SOUND[0], "cp1252"), 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, fixed_runs int")
