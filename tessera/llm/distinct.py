@@ -1,9 +1,10 @@
 """Problem 3: distinct counts over huge identifier sets from mergeable, delta-coded runs of sorted 64-bit hashes.
 
 A *run* is a sorted set of 64-bit hashes of one group: the first hash and then the differences, each in 7-bit groups of
-bytes. Every input partition sorts and codes its own runs before the shuffle; runs of the same group are merged by a k-way
-union afterwards, and merged runs can be stored and merged again with those of other days, stores or groups (``roll_up``).
-A group with many rows is split by the leading bits of its hashes, so that no task holds more than a share of it.
+bytes. Every input partition sorts and codes its own runs before the shuffle. Runs of the same group come to their task in the
+order of their first hashes and are merged by a k-way union that gives out what no later run can add to, so a task holds the
+runs that overlap at a time, not the group. Merged runs can be stored and merged again with those of other days, stores or groups
+(``roll_up``). A group of more than ``SPLIT_ROWS`` rows is split by the leading bits of its hashes over tasks.
 
 Counts are exact unless two identifiers share a hash. Among d identifiers the expected number of such pairs, and so the
 expected undercount and the probability of any error, is at most d * (d - 1) / 2**65: ``error_bound`` reports it.
@@ -14,7 +15,7 @@ repeated rows change nothing; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,14 @@ from pyspark.sql import types as T
 
 from ..parallel import spread
 
-#: Hashes in one stored run at most; a larger set becomes several runs over disjoint ranges of hashes.
-MAX_RUN = 4096
+#: Hashes in one stored run at most; a larger set becomes several runs over disjoint ranges of hashes. An Arrow batch of 10,000
+#: rows then has 80 MB at most.
+MAX_RUN = 1024
 #: Rows of a group above which its hashes are split by leading bits.
 SPLIT_ROWS = 4_000_000
-#: Hashes that a task buffers before it codes them.
+#: Groups that are split at most; only beyond SPLIT_ROWS times as many rows do tasks get larger shares.
+SPLIT_GROUPS = 1_000_000
+#: Hashes that a task codes or decodes at a time.
 BUFFER = 1_000_000
 
 
@@ -67,8 +71,12 @@ def decode(data: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[starts] - d[starts], counts)
 
 
+_SIGN = np.uint64(1 << 63)
+
+
 def _coded(keys: list[pa.Array], names: list[str], code: np.ndarray, prefix: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    """Runs out of values sorted by (code, prefix, h) without repeats; keys: a row per code."""
+    """Runs out of values sorted by (code, prefix, h) without repeats; keys: a row per code. ``first``: a run's first hash, as a
+    bigint of the same order."""
     new = np.ones(len(h), bool)
     new[1:] = (code[1:] != code[:-1]) | (prefix[1:] != prefix[:-1])
     at = np.flatnonzero(new)
@@ -79,7 +87,24 @@ def _coded(keys: list[pa.Array], names: list[str], code: np.ndarray, prefix: np.
     lengths = np.diff(np.append(at, len(h)))
     runs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
     take = pa.array(code[at])
-    return pa.RecordBatch.from_arrays([*(k.take(take) for k in keys), pa.array(prefix[at].astype(np.int32)), pa.array(lengths.astype(np.int64)), runs], names=[*names, "prefix", "n", "run"])
+    cols = [*(k.take(take) for k in keys), pa.array(prefix[at].astype(np.int32)), pa.array((h[at] ^ _SIGN).view(np.int64)), pa.array(lengths.astype(np.int64)), runs]
+    return pa.RecordBatch.from_arrays(cols, names=[*names, "prefix", "first", "n", "run"])
+
+
+def _hashes(b: pa.RecordBatch, i: int, j: int) -> np.ndarray:
+    """The hashes of rows i to j of a batch of runs."""
+    if i >= j:
+        return np.zeros(0, np.uint64)
+    run, n = b.column("run"), b.column("n").to_numpy()
+    off = np.frombuffer(run.buffers()[1], np.int32)[run.offset : run.offset + len(run) + 1]
+    return decode(np.frombuffer(run.buffers()[2], np.uint8)[off[i] : off[j]], n[i:j])
+
+
+def _slices(n: np.ndarray, i: int, j: int) -> Iterator[tuple[int, int]]:
+    """Rows i to j in slices of BUFFER hashes or one row more."""
+    part = np.cumsum(n[i:j]) // BUFFER
+    at = [i, *(i + 1 + np.flatnonzero(part[1:] != part[:-1])).tolist(), j]
+    yield from ((a, b) for a, b in zip(at, at[1:], strict=False) if a < b)
 
 
 def _unique(code: np.ndarray, prefix: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,18 +127,18 @@ def _codes(columns: list[pa.Array]) -> tuple[np.ndarray, list[pa.Array]]:
 
 
 def _run_schema(schema: T.StructType, groups: Sequence[str]) -> T.StructType:
-    return T.StructType([*(T.StructField(g, schema[g].dataType) for g in groups), T.StructField("prefix", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
+    return T.StructType([*(T.StructField(g, schema[g].dataType) for g in groups), T.StructField("prefix", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n", T.LongType()), T.StructField("run", T.BinaryType())])
 
 
 def _bits(df: DataFrame, groups: Sequence[str], weight: Column) -> dict[tuple, int]:
-    """Leading bits by which each hot group is split. A group is listed from a 10,000th of all rows (and SPLIT_ROWS), so
-    the driver gets 10,000 rows at most, whatever the data."""
-    sizes = df.groupBy(*groups).agg(weight.cast("bigint").alias("_rows")).where(F.col("_rows") > SPLIT_ROWS)
-    total = df.agg(weight.cast("bigint")).first()[0] or 0
-    if total <= SPLIT_ROWS:
-        return {}
-    hot = sizes.where(F.col("_rows") > total / 10_000).collect()
-    return {tuple(r[g] for g in groups): min(16, int(np.ceil(np.log2(r["_rows"] / SPLIT_ROWS)))) for r in hot}
+    """Leading bits by which each group of more than SPLIT_ROWS rows is split, out of one aggregate. There are at most as many
+    such groups as SPLIT_ROWS goes into the rows: 250,000 (some 20 MB) at 10**12 rows; never more than SPLIT_GROUPS, as from
+    there on the share of a task grows with the rows instead."""
+    sizes = df.groupBy(*groups).agg(weight.cast("bigint").alias("_rows"))
+    hot = F.collect_list(F.when(F.col("_rows") > SPLIT_ROWS, F.struct(*groups, "_rows")))
+    got = sizes.agg(F.sum("_rows").alias("rows"), hot.alias("hot")).first()
+    share = max(SPLIT_ROWS, (got["rows"] or 0) // SPLIT_GROUPS)
+    return {tuple(r[g] for g in groups): int(np.ceil(np.log2(r["_rows"] / share))) for r in got["hot"] if r["_rows"] > share}
 
 
 def _prefixes(code: np.ndarray, keys: list[pa.Array], h: np.ndarray, bits: dict[tuple, int]) -> np.ndarray:
@@ -123,50 +148,83 @@ def _prefixes(code: np.ndarray, keys: list[pa.Array], h: np.ndarray, bits: dict[
     return np.where(by > 0, (h >> (np.uint64(64) - np.maximum(by, 1).astype(np.uint64))).astype(np.int64), 0)
 
 
-def _merged(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """k-way union of the runs of each (group, prefix)."""
+def _same(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays hold the same value; nulls are the same, and so are NaNs."""
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(a.is_null(), b.is_null()))
+    if pa.types.is_floating(a.type):
+        same = pc.or_(same, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return same.to_numpy(zero_copy_only=False)
+
+
+def union(batches: Iterable[pa.RecordBatch], groups: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """k-way union of runs that come sorted by ``groups``, prefix and first: what lies below the first hash of the key's next run
+    is given out at once, so no more is held than the runs that overlap."""
     groups = list(groups)
     names = [*groups, "prefix"]
+    key: pa.RecordBatch | None = None  # the key of the rows before, and those of its hashes that aren't given out yet
+    pending = np.zeros(0, np.uint64)
+
+    def out(keys: list[pa.Array], code: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return _coded(keys[:-1], groups, code, keys[-1].to_numpy()[code], h)
+
+    def several(b: pa.RecordBatch, i: int, j: int, starts: np.ndarray) -> pa.RecordBatch:
+        """Whole groups, together."""
+        code = np.repeat(np.cumsum(starts[i:j]) - 1, b.column("n").to_numpy()[i:j])
+        keys = [b.column(k).take(pa.array(i + np.flatnonzero(starts[i:j]))) for k in names]
+        code, _, h = _unique(code, np.zeros(len(code), np.int64), _hashes(b, i, j))
+        return out(keys, code, h)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if len(pending):
+            yield out([key.column(k) for k in names], np.zeros(len(pending), np.int64), pending)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n, first = b.column("n").to_numpy(), b.column("first").to_numpy()
+        starts = np.zeros(b.num_rows, bool)
+        for k in names:
+            c = b.column(k)
+            starts[1:] |= ~_same(c.slice(1), c.slice(0, len(c) - 1))
+        starts[0] = key is None or not all(_same(b.column(k).slice(0, 1), key.column(k))[0] for k in names)
+        at = np.flatnonzero(starts)
+        ends = np.append(at, b.num_rows)
+        last = int(at[-1]) if len(at) else 0  # where the batch's last key begins, which may go on in the next one
+        i = int(at[0]) if len(at) else b.num_rows
+        long = [(0, i), *((int(x), int(y)) for x, y in zip(at, ends[1:], strict=True) if x == last or n[x:y].sum() > BUFFER)]
+        done = 0
+        for x, y in long:
+            if x > done:  # the groups in between are whole and not large
+                part = ends[(ends >= done) & (ends <= x)]
+                size = np.array([n[p:q].sum() for p, q in zip(part, part[1:], strict=False)])
+                cut = np.flatnonzero(np.diff(np.cumsum(size) // BUFFER)) + 1
+                for p, q in zip([0, *cut], [*cut, len(size)], strict=True):
+                    if p < q:
+                        yield several(b, int(part[p]), int(part[q]), starts)
+            done = y
+            if x == y:
+                continue
+            if starts[x]:
+                yield from flush()
+                key, pending = b.slice(x, 1).select(names), np.zeros(0, np.uint64)
+            for p, q in _slices(n, x, y):
+                pending = np.union1d(pending, _hashes(b, p, q))
+                # Later runs of the key begin at the next one's first hash or above.
+                cut = int(np.searchsorted(pending, np.array(first[min(q, y - 1)], np.int64).view(np.uint64) ^ _SIGN))
+                if cut >= MAX_RUN:
+                    yield out([key.column(k) for k in names], np.zeros(cut, np.int64), pending[:cut])
+                    pending = pending[cut:]
+    yield from flush()
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
-
-        def union(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            cols = [t.column(g).combine_chunks() if isinstance(t.column(g), pa.ChunkedArray) else t.column(g) for g in names]
-            n = t.column("n").to_numpy()
-            run = t.column("run").combine_chunks()
-            run = run.chunk(0) if isinstance(run, pa.ChunkedArray) else run
-            off = np.frombuffer(run.buffers()[1], np.int32)[run.offset : run.offset + len(run) + 1]
-            h = decode(np.frombuffer(run.buffers()[2], np.uint8)[off[0] : off[-1]], n)
-            code, keys = _codes(cols)
-            code = np.repeat(code, n)
-            code, _, h = _unique(code, np.zeros(len(h), np.int64), h)
-            out = _coded(keys, names, code, np.zeros(len(h), np.int64), h)
-            return pa.RecordBatch.from_arrays([*(out.column(k) for k in range(len(names))), out.column("n"), out.column("run")], names=[*names, "n", "run"])
-
-        def last_key(t: pa.Table) -> pa.ChunkedArray:
-            same = np.ones(t.num_rows, bool)
-            for g in names:
-                c, v = t.column(g), t.column(g)[t.num_rows - 1]
-                same &= (c.is_null() if v.as_py() is None else pc.fill_null(pc.equal(c, v), False)).to_numpy()
-            return same
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            t = t if waiting is None else pa.concat_tables([waiting, t])
-            same = last_key(t)  # the rows are sorted by key: those of the last one may go on in the next batch
-            done, waiting = t.filter(pa.array(~same)), t.filter(pa.array(same))
-            if done.num_rows:
-                yield union(done)
-            if waiting.num_rows > 1 and int(pc.sum(waiting.column("n")).as_py()) > BUFFER:
-                waiting = pa.Table.from_batches([union(waiting)])
-        if waiting is not None and waiting.num_rows:
-            yield union(waiting)
+def _merged(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Union of the runs of each (group, prefix)."""
+    groups = list(groups)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from union(batches, groups)
 
-    return runs.repartition(*groups, "prefix").sortWithinPartitions(*groups, "prefix").mapInArrow(go, runs.schema)
+    return runs.repartition(*groups, "prefix").sortWithinPartitions(*groups, "prefix", "first").mapInArrow(go, runs.schema).drop("first")
 
 
 def distinct_runs(df: DataFrame, groups: Sequence[str], identifier: str) -> DataFrame:
@@ -208,15 +266,12 @@ def roll_up(runs: DataFrame, groups: Sequence[str]) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             n = b.column("n").to_numpy()
-            run = b.column("run")
-            off = np.frombuffer(run.buffers()[1], np.int32)[run.offset : run.offset + len(run) + 1]
-            h = decode(np.frombuffer(run.buffers()[2], np.uint8)[off[0] : off[-1]], n)
-            code, keys = _codes([b.column(g) for g in groups])
-            code = np.repeat(code, n)
-            yield _coded(keys, groups, *_unique(code, _prefixes(code, keys, h, bits), h))
+            for i, j in _slices(n, 0, b.num_rows):
+                h = _hashes(b, i, j)
+                code, keys = _codes([b.column(g).slice(i, j - i) for g in groups])
+                code = np.repeat(code, n[i:j])
+                yield _coded(keys, groups, *_unique(code, _prefixes(code, keys, h, bits), h))
 
     return _merged(runs.select(*groups, "n", "run").mapInArrow(go, _run_schema(runs.schema, groups)), groups)
 

@@ -108,7 +108,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("ss_sold_date_sk").agg(F.max_by("ss_store_sk", F.struct("distinct_n", -F.col("ss_store_sk"))).alias("ss_store_sk"))
 
 
-_BY = """SELECT '{0}' AS level, {1} AS day, {2} AS store, CAST(count(DISTINCT ss_customer_sk) AS BIGINT) AS distinct_n FROM store_sales
+_BY = """SELECT '{0}' AS level, {1} AS day, {2} AS store, CAST(count(DISTINCT ss_customer_sk) AS BIGINT) AS distinct_n,
+ count(DISTINCT ss_customer_sk) * (count(DISTINCT ss_customer_sk) - 1.0::DOUBLE) / 36893488147419103232.0::DOUBLE AS error_bound FROM store_sales
 WHERE ss_sold_date_sk IS NOT NULL AND ss_store_sk IS NOT NULL AND ss_customer_sk IS NOT NULL GROUP BY 1, 2, 3"""
 
 
@@ -119,7 +120,7 @@ def p3_days_stores_pairs(spark: SparkSession, d: str) -> DataFrame:
     none, out = F.lit(None).cast("bigint"), None
     for level, by in (("day", ["ss_sold_date_sk"]), ("store", ["ss_store_sk"]), ("day_store", ["ss_sold_date_sk", "ss_store_sk"])):
         c = distinct.counts(pairs if len(by) == 2 else distinct.roll_up(pairs, by), by)
-        c = c.select(F.lit(level).alias("level"), *[(F.col(k) if k in by else none).alias(a) for k, a in (("ss_sold_date_sk", "day"), ("ss_store_sk", "store"))], "distinct_n")
+        c = c.select(F.lit(level).alias("level"), *[(F.col(k) if k in by else none).alias(a) for k, a in (("ss_sold_date_sk", "day"), ("ss_store_sk", "store"))], "distinct_n", "error_bound")
         out = c if out is None else out.unionByName(c)
     return out
 

@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +132,33 @@ def test_distinct_counts_and_rolling_up(spark, monkeypatch, split):
         assert runs.where("prefix > 0").count() > 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_union_holds_only_runs_that_overlap(monkeypatch, rows):
+    """One key of many runs among small keys, in batches of any size: the union is complete, ordered, and never held as a whole."""
+    monkeypatch.setattr(distinct, "BUFFER", 500)
+    monkeypatch.setattr(distinct, "MAX_RUN", 16)
+    held, union1d = [0], np.union1d
+    monkeypatch.setattr(np, "union1d", lambda a, b: held.append(len(a)) or union1d(a, b))
+    rng = np.random.default_rng(4)
+    want, made = {}, []
+    for part in range(20):
+        for g, n in (("a", 3), ("hot", 4000), ("hot2", 900), (None, 40), ("z", 1)):
+            h = np.unique(rng.integers(0, 2**64, n, np.uint64) if g != "z" else np.array([5], np.uint64))
+            want.setdefault(g, set()).update(h.tolist())
+            made.append(distinct._coded([pa.array([g], pa.string())], ["g"], np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), h))
+    t = pa.Table.from_batches(made).sort_by([("g", "ascending"), ("prefix", "ascending"), ("first", "ascending")]).combine_chunks()
+    batch = t.to_batches()[0]
+    got = {}
+    for b in distinct.union([batch.slice(k, rows) for k in range(0, batch.num_rows, rows)], ["g"]):
+        assert max(b.column("n").to_pylist()) <= 16
+        for k, (g, n) in enumerate(zip(b.column("g").to_pylist(), b.column("n").to_pylist(), strict=True)):
+            h = distinct._hashes(b, k, k + 1).tolist()
+            assert len(h) == n and h == sorted(h) and (g not in got or got[g][-1] < h[0])
+            got.setdefault(g, []).extend(h)
+    assert {g: set(h) for g, h in got.items()} == want
+    assert max(held) < 2000 < len(want["hot"])
+
+
 # --- packing -----------------------------------------------------------------------------------------------------------
 def test_boundaries_are_optimal():
     import itertools
