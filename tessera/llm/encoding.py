@@ -69,7 +69,9 @@ _LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
 # Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones.
 _ODD = re.compile("[A-Za-z][\u0400-\u052f]|[\u0400-\u052f][A-Za-z]|[A-Za-z][\u0370-\u03ff\u2500-\u25ff][A-Za-z]|[A-Za-z][²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§][a-z]")
 _ACCENTED = re.compile("[À-ÖØ-öø-ÿ]{4,}")
-_HIGH = re.compile("[\x80-\u036f\u2010-\u22ff]{4}")
+_HIGH = re.compile("[^\x00-\x7f]{4}")
+_ODD_SIGNS = frozenset(map(chr, (*range(0x370, 0x530), *range(0x2500, 0x2600)))) | frozenset("²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§")
+_WESTERN = re.compile("[\x80-\u036f\u2010-\u22ff]").match
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«", '"': '"', "'": "'", "「": "」", "『": "』", "‹": "›"}
 _CLOSING = frozenset("".join(_QUOTES.values()))
 MEMO = 200_000
@@ -407,11 +409,12 @@ def repair(text: str) -> tuple[str, int, int]:
         text, n = _lines(text) if not _LOST_SIGNS.isdisjoint(signs) else (text, 0)
         if not n:
             text, n = _runs(text)
-        if not n and any(c < "⺀" for c in signs - _EXPECTED) and _ODD.search(text):
+        if not n and not _ODD_SIGNS.isdisjoint(signs) and _ODD.search(text):
             text, n = _lines(text)
             if not n:
                 text, n = _legacy(text)
-        if not n and _HIGH.search(text):
+        # A line of another encoding has many different signs, four of them in a row.
+        if not n and sum(1 for c in signs if _WESTERN(c)) >= 6 and _HIGH.search(text):
             text, n = _lines(text)
             if not n:
                 text, n = _other_script(text)

@@ -1,21 +1,23 @@
 """Problem 6: passages of held-out test items in the texts of a corpus.
 
-The items' words form a BM25 inverted index: postings sorted by item in blocks, with the largest impact of every block. Every
-text is cut into overlapping passages of words, and each passage queries the index. As in block-max WAND, a passage is dropped
-if the summed upper bounds of its words stay below the lowest threshold; of the others only blocks of items whose summed block
-maxima reach the block's threshold are scored, and every item that reaches its own threshold is a candidate. An item's
-threshold is the lowest score that a stretch of ``SHARE`` of its words can have after one in ``EDITS`` of its words is lost (the
-heaviest ones), so no stretch within the definition is missed. Candidates are verified by aligning the item's words with the
-text's: a case holds a stretch of at least SHARE of the item's words, in order, with at most one word in EDITS changed, added
-or missing. The stretch of the best local alignment decides, or else the longest one that begins and ends with a matching word
-and keeps to those edits. ``answer_found``: the answer's words follow in the text.
+The items' pairs of neighbouring words (an item of two words or fewer: its words) are the terms of a BM25 inverted index: postings
+sorted by item in blocks, with the largest impact of every block. Every text is cut into overlapping passages of words, and each
+passage queries the index. As in block-max WAND, the terms that many blocks have and that hardly weigh are not looked up for a
+block as long as they can't reach half its threshold together; they are granted to every passage. The impacts of the others are
+summed by (passage, block), only where there are any, and of the blocks whose sum falls short of the threshold nothing is scored.
+In the others every item that reaches its own threshold is a candidate. An item's threshold is the lowest score that a stretch of
+``SHARE`` of its words can have after one in ``EDITS`` of its words is lost, each with the two heaviest pairs there are, so no
+stretch within the definition is missed. Candidates are verified by aligning the item's words with the text's: a case holds a
+stretch of at least SHARE of the item's words, in order, with at most one word in EDITS changed, added or missing. The stretch of
+the best local alignment decides, or else the longest one that begins and ends with a matching word and keeps to those edits.
+``answer_found``: the answer begins within ``ANSWER_WITHIN`` words after that stretch.
 
 Words are runs of letters or digits after case folding, compatibility decomposition (ligatures, wide forms), removal of tags,
-entities, soft hyphens and hyphens at line ends; wrongly decoded texts with candidates are restored first (``encoding``). Passages are so long that a stretch of two fifths, with its additions, always
-lies whole within one of them.
+entities, soft hyphens and hyphens at line ends; wrongly decoded texts are restored first (``encoding``). Passages are so long that
+a stretch of two fifths, with its additions, always lies whole within one of them.
 
-The index is broadcast in shards of ``MAX_ITEMS`` items: their number of scans over the corpus grows with the items, memory
-doesn't. Defined cases: null or wordless texts and items give no row; repeated items are found each; a text that holds an item
+The index is broadcast in shards of ``MAX_ITEMS`` items: the number of scans over the corpus grows with the items beyond that,
+memory doesn't. Defined cases: null or wordless texts and items give no row; repeated items are found each; a text that holds an item
 several times gives one row, its best; other columns are ignored.
 """
 
@@ -25,7 +27,6 @@ import html
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,10 +42,11 @@ from . import encoding
 SHARE, EDITS = 0.4, 6
 #: BM25's parameters.
 K1, B = 1.2, 0.75
+ANSWER_WITHIN = 40
 #: Items per block of postings, and per broadcast index.
-BLOCK, MAX_ITEMS = 4, 20_000
-#: Impact below which a word isn't looked up block by block. Texts that are searched together.
-LIGHT, TEXTS = 0.8, 256
+BLOCK, MAX_ITEMS = 4, 100_000
+#: Blocks that a term has at least to be granted instead of being looked up. Texts that are searched together.
+FREQUENT, TEXTS = 16, 256
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _LINE_END = re.compile(r"(?<=[^\W\d_])[-‐¬]\r?\n\s*(?=[^\W\d_])")
@@ -92,19 +94,29 @@ class Index:
     ids: list[int]
     vocabulary: dict[bytes, int]  # from 1; 0 stands for all other words
     sequences: list[np.ndarray]  # each item's words
-    pairs: list[np.ndarray]  # each item's neighbouring words, as one number
     answers: list[np.ndarray]
-    bound: np.ndarray  # per word, the largest impact
-    starts: np.ndarray  # of each word's postings
+    terms: np.ndarray  # two words as one number, or one word (see ``key``)
+    singles: bool  # whether there are terms of one word
+    starts: np.ndarray  # of each term's postings
     items: np.ndarray
     impacts: np.ndarray
-    block_starts: np.ndarray  # of each word's blocks
+    block_starts: np.ndarray  # of the blocks in which each term is looked up
     blocks: np.ndarray
     block_impacts: np.ndarray
+    granted: np.ndarray  # per block, what the terms sum up to that aren't looked up
     thresholds: np.ndarray  # per item
     block_thresholds: np.ndarray
     length: int  # words of a passage
 
+    def key(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The number of a pair of words (first: 0 for a single one)."""
+        return first.astype(np.int64) * (len(self.vocabulary) + 1) + second
+
+
+def _stretch(n: int) -> int:
+    """Words that make a case of n words."""
+    return max(1, math.ceil(SHARE * n - 1e-9))
+
 
 def build(rows: list[tuple[int, str, str | None]]) -> Index | None:
     """An index of (item_id, passage, answer)."""
@@ -116,40 +128,55 @@ def build(rows: list[tuple[int, str, str | None]]) -> Index | None:
     for _, p, a in texts:
         for w in (*p, *a):
             vocabulary.setdefault(w, len(vocabulary) + 1)
-    seqs = [np.array([vocabulary[w] for w in p], np.int64) for _, p, _ in texts]
+    seqs = [np.array([vocabulary[w] for w in p], np.int32) for _, p, _ in texts]
     answers = [np.array([vocabulary[w] for w in a], np.int32) for _, _, a in texts]
-    n, mean = len(seqs), float(np.mean([len(s) for s in seqs]))
-    df = Counter(t for s in seqs for t in set(s.tolist()))
-    weights: list[dict[int, float]] = []
-    for s in seqs:
-        norm = K1 * (1 - B + B * len(s) / mean)
-        weights.append({t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(s.tolist()).items()})
-    post = sorted((t, k, w) for k, x in enumerate(weights) for t, w in x.items())
-    term = np.array([p[0] for p in post], np.int64)
-    items, impacts = np.array([p[1] for p in post], np.int32), np.array([p[2] for p in post], np.float64)
-    size = len(vocabulary) + 1
-    starts = np.searchsorted(term, np.arange(size + 1))
-    bound = np.zeros(size)
-    np.maximum.at(bound, term, impacts)
-    of = term * (n // BLOCK + 1) + items // BLOCK
-    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    block_impacts = np.maximum.reduceat(impacts, first)
-    block_starts = np.searchsorted(term[first], np.arange(size + 1))
-    thresholds = np.array([_threshold(s, w) for s, w in zip(seqs, weights, strict=True)])
-    block_thresholds = np.minimum.reduceat(thresholds, np.arange(0, n, BLOCK))
-    longest = max(math.ceil(SHARE * len(s)) for s in seqs)
-    length = 2 * max(32, longest + longest // EDITS + 2)
-    pairs = [s[:-1] * size + s[1:] for s in seqs]
-    return Index([t[0] for t in texts], vocabulary, seqs, pairs, answers, bound, starts, items, impacts, block_starts, (items[first] // BLOCK).astype(np.int32), block_impacts, thresholds, block_thresholds, length)
-
-
-def _threshold(seq: np.ndarray, weights: dict[int, float]) -> float:
-    """The least score of a stretch of SHARE of the words without its heaviest ones."""
-    size = max(1, math.ceil(SHARE * len(seq)))
-    least = math.inf
-    for i in range(len(seq) - size + 1):
-        w = sorted((weights[t] for t in set(seq[i : i + size].tolist())), reverse=True)
-        least = min(least, sum(w[size // EDITS :]))
+    single = np.array([_stretch(len(s)) < 2 for s in seqs])
+    ix = Index([t[0] for t in texts], vocabulary, seqs, answers, *[None] * 11, 0)
+    keys = [ix.key(np.zeros_like(s), s) if one else ix.key(s[:-1], s[1:]) for s, one in zip(seqs, single, strict=True)]
+    sizes, n = np.array([len(k) for k in keys]), len(seqs)
+    owner = np.repeat(np.arange(n), sizes)
+    terms, term = np.unique(np.concatenate(keys), return_inverse=True)
+    post, first, of, times = np.unique(owner * len(terms) + term, return_index=True, return_inverse=True, return_counts=True)
+    item, term = post // len(terms), post % len(terms)
+    df = np.bincount(term)
+    norm = K1 * (1 - B + B * sizes / sizes.mean())
+    impact = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * times * (K1 + 1) / (times + norm[item])
+    at = np.zeros(len(owner))  # a repeated term counts once: at its first place
+    at[first] = impact[of[first]]
+    ends = np.cumsum(sizes)
+    thresholds = np.array([_threshold(at[e - k : e], len(s)) for e, k, s in zip(ends, sizes, seqs, strict=True)])
+    order = np.lexsort((item, term))
+    term, item, impact = term[order], item[order].astype(np.int32), impact[order]
+    blocks = -(-n // BLOCK)
+    where = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)])
+    b_term, b_block, b_impact = term[where], item[where] // BLOCK, np.maximum.reduceat(impact, where)
+    limits = np.minimum.reduceat(thresholds, np.arange(0, n, BLOCK))
+    # Frequent terms of each block, the most frequent first, are granted up to half the block's threshold.
+    spread_over = np.bincount(b_term)[b_term]
+    order = np.lexsort((b_term, -spread_over, b_block))
+    upto = np.cumsum(b_impact[order])
+    begins = np.searchsorted(b_block[order], np.arange(blocks))
+    upto -= np.r_[0.0, upto][begins][b_block[order]]
+    given = np.zeros(len(order), bool)
+    given[order] = (upto < limits[b_block[order]] / 2) & (spread_over[order] > FREQUENT)
+    longest = max(_stretch(len(s)) for s in seqs)
+    ix.terms, ix.singles, ix.items, ix.impacts = terms, bool(single.any()), item, impact.astype(np.float32)
+    ix.starts, ix.block_starts = (np.searchsorted(t, np.arange(len(terms) + 1)) for t in (term, b_term[~given]))
+    ix.blocks, ix.block_impacts = b_block[~given], b_impact[~given].astype(np.float32)
+    ix.granted, ix.thresholds, ix.block_thresholds = np.bincount(b_block[given], b_impact[given], blocks), thresholds, limits
+    ix.length = 2 * max(32, longest + longest // EDITS + 2)
+    return ix
+
+
+def _threshold(impacts: np.ndarray, n: int) -> float:
+    """The least score of a stretch of SHARE of an item's n words without its heaviest pairs, as many as its edits can break; a
+    longer stretch has more edits, so the next lengths that allow one more are looked at as well."""
+    least, size = math.inf, _stretch(n)
+    if size < 2:
+        return float(impacts.min()) * 0.999
+    for k in {min(n, size), min(n, (size // EDITS + 1) * EDITS), min(n, (size // EDITS + 2) * EDITS)}:
+        windows = np.sort(np.lib.stride_tricks.sliding_window_view(impacts, k - 1), axis=1)
+        least = min(least, float(windows[:, : k - 1 - 2 * (k // EDITS)].sum(1).min()))
     return least * 0.999
 
 
@@ -159,47 +186,61 @@ def _spread(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(terms)), n)
 
 
+def _terms(ix: Index, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index's terms in the texts, and at which word each begins, in order."""
+    inside = np.ones(len(ids), bool)
+    inside[ends[ends > 0] - 1] = False
+    at = np.flatnonzero(inside[:-1] & (ids[:-1] > 0) & (ids[1:] > 0))
+    key = ix.key(ids[at], ids[at + 1])
+    if ix.singles:
+        one = np.flatnonzero(ids)
+        at, key = np.r_[at, one], np.r_[key, ids[one]]
+    term = np.minimum(np.searchsorted(ix.terms, key), len(ix.terms) - 1)
+    known = ix.terms[term] == key
+    at, term = at[known], term[known]
+    order = np.argsort(at, kind="stable") if ix.singles else slice(None)
+    return term[order], at[order]
+
+
 def candidates(ix: Index, ids: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(text, item) pairs that may be cases: best score, and the words from which to which it was found. ``ids``: the word
     numbers of several texts, one after the other; ``ends``: where each text ends."""
     half, blocks = ix.length // 2, len(ix.block_thresholds)
     begins = np.r_[0, ends[:-1]]
-    lengths = ends - begins
-    parts = np.maximum(1, -(-lengths // half))  # half passages of each text
+    parts = np.maximum(1, -(-(ends - begins) // half))  # half passages of each text
     first = np.cumsum(parts) - parts
-    text = np.repeat(np.arange(len(ends)), lengths)
-    part = first[text] + (np.arange(len(ids)) - begins[text]) // half
-    n = int(parts.sum())
-    # Words of nearly all items hardly weigh: every passage is taken to hold them all.
-    light = ix.bound < LIGHT
-    heavy = np.flatnonzero(~light[ids])
-    different = np.unique(part[heavy].astype(np.int64) * len(light) + ids[heavy])
-    k, of = _spread(ix.block_starts, different % len(light))
-    bound = np.bincount((different // len(light))[of] * blocks + ix.blocks[k], ix.block_impacts[k], n * blocks).astype(float).reshape(n, blocks)
-    last = np.zeros(n, bool)
-    last[first + parts - 1] = True
-    both = bound.copy()  # a passage is two halves in a row
-    both[:-1] += np.where(last[:-1, None], 0.0, bound[1:])
-    alive = both >= ix.block_thresholds - ix.bound[light].sum()
-    alive[np.flatnonzero(last & ~np.isin(np.arange(n), first))] = False  # the last half is in the passage before
+    term, at = _terms(ix, ids, ends)
+    if not len(term):
+        return {}
+    text = np.searchsorted(ends, at, "right")
+    part = first[text] + (at - begins[text]) // half
+    different = np.unique(part * len(ix.terms) + term)
+    k, of = _spread(ix.block_starts, different % len(ix.terms))
+    part, block, impact = (different // len(ix.terms))[of], ix.blocks[k], ix.block_impacts[k]
     owner = np.repeat(np.arange(len(ends)), parts)
+    # A passage is two halves in a row: what is in a half counts for it and for the one before.
+    back = part > first[owner[part]]
+    pair, of = np.unique(np.r_[part, part[back] - 1] * blocks + np.r_[block, block[back]], return_inverse=True)
+    total = np.bincount(of, np.r_[impact, impact[back]])
+    alive = pair[total >= (ix.block_thresholds - ix.granted)[pair % blocks]]
+    passage, block = alive // blocks, alive % blocks
     out: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for w in np.flatnonzero(alive.any(1)).tolist():
+    cuts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1], True]) if len(passage) else []
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        w = int(passage[x])
         t = int(owner[w])
+        if w > first[t] and w == first[t] + parts[t] - 1:
+            continue  # the last half is in the passage before
         a = int(begins[t] + (w - first[t]) * half)
         e = min(int(ends[t]), a + ix.length)
-        terms = np.unique(ids[a:e])
-        terms = terms[1:] if len(terms) and not terms[0] else terms
-        k, _ = _spread(ix.block_starts, terms)
-        live = np.bincount(ix.blocks[k], ix.block_impacts[k], blocks) >= ix.block_thresholds
-        if not live.any():
-            continue
-        k, _ = _spread(ix.starts, terms)
-        k = k[live[ix.items[k] // BLOCK]]
-        score = np.bincount(ix.items[k], ix.impacts[k], len(ix.thresholds))
-        for i in np.flatnonzero(score >= ix.thresholds).tolist():
+        k, _ = _spread(ix.starts, np.unique(term[np.searchsorted(at, a) : np.searchsorted(at, e)]))
+        k = k[np.isin(ix.items[k] // BLOCK, block[x:y])]
+        items, of = np.unique(ix.items[k], return_inverse=True)
+        score = np.bincount(of, ix.impacts[k])
+        hit = score >= ix.thresholds[items]
+        for i, s in zip(items[hit].tolist(), score[hit].tolist(), strict=True):
             old = out.get((t, i))
-            out[t, i] = (score[i], a, e) if old is None else (max(old[0], score[i]), old[1], e)
+            out[t, i] = (s, a, e) if old is None else (max(old[0], s), old[1], e)
     return out
 
 
@@ -277,14 +318,14 @@ def longest(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def find(ix: Index, texts: list[str], restore: bool = True) -> list[tuple[int, int, float, float, float, bool]]:
+def find(ix: Index, texts: list[str]) -> list[tuple[int, int, float, float, float, bool]]:
     """(number of the text, item_id, score, share of the item's words that the stretch covers, share of those that match,
     answer_found) of the cases."""
     get = ix.vocabulary.get
     ids: list[int] = []
     ends = []
     for t in texts:
-        ids += [get(w, 0) for w in words(t)]
+        ids += [get(w, 0) for w in words(encoding.repair(t)[0])]
         ends.append(len(ids))
     if not ids:
         return []
@@ -292,17 +333,12 @@ def find(ix: Index, texts: list[str], restore: bool = True) -> list[tuple[int, i
     begin = np.r_[0, end[:-1]]
     hits, out = [], []
     found = candidates(ix, x, end)
-    # Texts with candidates that were decoded wrongly are searched again as they should read.
-    again = {t: r for t in {t for t, _ in found} if restore and not texts[t].isascii() and (r := encoding.repair(texts[t])[0]) != texts[t]}
-    for (t, *rest) in find(ix, list(again.values()), False):
-        out.append((list(again)[t], *rest))
     for (t, i), (score, a, e) in found.items():
-        if t in again:
-            continue
         n = len(ix.sequences[i])
-        part = x[max(begin[t], a - n) : min(end[t], e + n)]
+        part = x[max(begin[t], a - n) : min(end[t], e + n + ANSWER_WITHIN + len(ix.answers[i]))]
         # A lost word costs two pairs of neighbours at most; without enough of those left there is nothing to align.
-        if np.isin(ix.pairs[i], part[:-1] * len(ix.bound) + part[1:]).sum() >= SHARE * n * (1 - 2 / EDITS) - 2:
+        s = ix.sequences[i]
+        if np.isin(ix.key(s[:-1], s[1:]), ix.key(part[:-1], part[1:])).sum() >= SHARE * n * (1 - 2 / EDITS) - 2:
             hits.append((t, i, score, part))
     hits.sort(key=lambda h: len(h[3]))
     cases, rest = [], []
@@ -323,8 +359,9 @@ def find(ix: Index, texts: list[str], restore: bool = True) -> list[tuple[int, i
                 cases.append((h, got))
     for (t, i, score, part), (covered, same, upto) in cases:
         n = len(ix.sequences[i])
-        ans, after = ix.answers[i], part[upto : upto + 40]
-        known = len(ans) > 0 and any(np.array_equal(after[j : j + len(ans)], ans) for j in range(len(after) - len(ans) + 1))
+        ans = ix.answers[i]
+        after = part[upto : upto + ANSWER_WITHIN + len(ans)]
+        known = len(ans) > 0 and any(np.array_equal(after[j : j + len(ans)], ans) for j in np.flatnonzero(after == ans[0]))
         out.append((t, ix.ids[i], float(score), covered / n, same / covered, bool(known)))
     return out
 

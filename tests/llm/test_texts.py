@@ -66,7 +66,7 @@ def test_wrongly_decoded_texts_are_restored_first(index):
     bad = "".join(chr(b) if b < 0x80 else table[b] for b in text.encode())
     half = " ".join(w if i % 4 else w[:2] + "¬≠" + w[2:] for i, w in enumerate(passage(13)))
     assert bad != text
-    assert [g[1] for g in leakage.find(index, [FILL(60) + " " + half])] == [13]
+    assert [g[:2] for g in sorted(leakage.find(index, [FILL(60) + " " + half, bad]))] == [(0, 13), (1, 13)]
 
 
 def test_brute_force_agrees(index):
@@ -117,7 +117,7 @@ def test_long_texts_and_edge_cases(spark):
     i = spark.createDataFrame([*ITEMS, (90, None, None), (91, "", ""), (92, ITEMS[3][1], None)], "item_id long, passage string, answer string")
     want = {(1, 3), (1, 92), (1, 4)}
     assert {tuple(r)[:2] for r in leakage.leaks(d, i).collect()} == want
-    assert {tuple(r)[:2] for r in leakage.leaks(d, i, max_items=7).collect()} >= want - {(1, 92)}  # in shards of items
+    assert {tuple(r)[:2] for r in leakage.leaks(d, i, max_items=7).collect()} == want  # in shards of items
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
