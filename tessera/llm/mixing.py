@@ -32,8 +32,8 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 MEMO = 300_000
 #: Hash buckets into which the documents of one length are dealt before they are ranked.
 RANK_BUCKETS = 256
-#: Tokens that the dynamic program covers at most.
-WINDOW = 1 << 17
+#: The dynamic program covers so many of the longest documents, and so many tokens at least.
+WINDOW_DOCUMENTS, WINDOW_TOKENS = 8, 1 << 16
 # Characters that Python's split() takes for white space and the tokenizer doesn't.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -44,19 +44,25 @@ def key(c: Column) -> Column:
 
 
 @cache
-def _encoder(path: str):  # noqa: ANN202
+def _encoder(vocabulary: bytes):  # noqa: ANN202
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_buffer(vocabulary)
     t.encode_special_tokens = True
     return t
 
 
+def vocabulary(path: str = TOKENIZER) -> bytes:
+    """The contents of a vocabulary file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class Counter:
     """Exact token counts. No token spans white space, so a text's count is the sum over its chunks, and those recur."""
 
-    def __init__(self, path: str = TOKENIZER) -> None:
-        self.encoder, self.memo = _encoder(path), {}
+    def __init__(self, contents: bytes | None = None) -> None:
+        self.encoder, self.memo = _encoder(vocabulary() if contents is None else contents), {}
 
     def direct(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.encoder.encode_batch(texts, add_special_tokens=False)]
@@ -84,12 +90,14 @@ class Counter:
 
 
 def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``docs`` with the text replaced by its number of tokens (bigint)."""
+    """``docs`` with the text replaced by its number of tokens (bigint). The vocabulary file is read by the driver and shipped (a few
+    MB), so no other machine needs it."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
     rest = [c for c in docs.columns if c != text]
     schema = docs.select(*rest).schema.add("tokens", "long")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = Counter(shared.value)
         for b in batches:
             n = counter.count(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n, pa.int64())], names=[*rest, "tokens"])
@@ -105,43 +113,57 @@ def _passes(goal: Fraction, size: int, most: int) -> tuple[int, bool]:
     return min(need, most), need > most
 
 
+def _reach(reach: int, length: int, n: int, limit: int) -> int:
+    """The sums (a bit each) that can be reached with up to n more of a length."""
+    k = 1
+    while n > 0:  # binary splitting of the count
+        k = min(k, n)
+        reach |= reach << k * length & limit
+        n -= k
+        k *= 2
+    return reach
+
+
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that they add up to the budget, or as near below it as can be."""
-    reach, before = 1, []
+    """How many of each length to take so that they add up to the budget, or as near below it as can be. What could be reached
+    before each length is kept for every square root of them and computed anew for the others, so memory stays small."""
     limit = (1 << budget + 1) - 1
-    for length, n in zip(lengths, counts, strict=True):
-        before.append(reach)
-        n = min(n, budget // length) if length else 0
-        k = 1
-        while n > 0:  # binary splitting of the count
-            k = min(k, n)
-            reach |= reach << k * length & limit
-            n -= k
-            k *= 2
+    most = [min(n, budget // m) if m else 0 for m, n in zip(lengths, counts, strict=True)]
+    step = max(1, math.isqrt(len(lengths)))
+    reach, kept = 1, []
+    for i, (m, n) in enumerate(zip(lengths, most, strict=True)):
+        if i % step == 0:
+            kept.append(reach)
+        reach = _reach(reach, m, n, limit)
     at = reach.bit_length() - 1
     take = [0] * len(lengths)
-    for i in range(len(lengths) - 1, -1, -1):
-        while not before[i] >> at & 1:
-            at -= lengths[i]
-            take[i] += 1
+    for block in range(len(kept) - 1, -1, -1):
+        own = range(block * step, min(len(lengths), (block + 1) * step))
+        before = [kept[block]]
+        for i in own[:-1]:
+            before.append(_reach(before[-1], lengths[i], most[i], limit))
+        for i in reversed(own):
+            b = before.pop()
+            while not b >> at & 1:
+                at -= lengths[i]
+                take[i] += 1
     return take
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """Subset-sum fit of the budget over a histogram of lengths (ascending, above 0); budget below the summed lengths."""
+    """Subset-sum fit of the budget over a histogram of lengths (ascending, above 0); budget below the summed lengths. Budgets of up
+    to WINDOW_DOCUMENTS of the longest documents (or WINDOW_TOKENS) are fitted exactly; of larger ones half of such a window is."""
     total = sum(n * m for n, m in zip(lengths, counts, strict=True))
     if not total or budget <= 0:
         return [0] * len(lengths)
-    take = [n * budget // total for n in counts]
+    window = max(WINDOW_TOKENS, WINDOW_DOCUMENTS * lengths[-1])
+    take = [n * max(0, budget - window // 2) // total for n in counts] if budget > window else [0] * len(lengths)
     gap = budget - sum(t * m for t, m in zip(take, lengths, strict=True))
-    window = min(WINDOW, max(4096, 4 * lengths[-1]))
-    for i in range(len(lengths) - 1, -1, -1):  # wide gap: one more of the longest that fit
-        while gap > window and lengths[i] <= gap and take[i] < counts[i]:
-            more = min(counts[i] - take[i], max(1, (gap - window) // lengths[i] // 2))
+    for i in range(len(lengths) - 1, -1, -1):  # what rounding has left out, the longest first
+        if gap > window and take[i] < counts[i]:
+            more = min(counts[i] - take[i], -(-(gap - window) // lengths[i]))
             take[i] += more
             gap -= more * lengths[i]
-    if gap > window:
-        return take
     small = [i for i, n in enumerate(lengths) if n <= gap and counts[i] > take[i]]
     more = knapsack([lengths[i] for i in small], [counts[i] - take[i] for i in small], gap)
     for i, k in zip(small, more, strict=True):
@@ -189,7 +211,8 @@ def select(counted: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
         take = fit([int(x) for x in pdf["tokens"]], [int(x) for x in pdf["n"]], int(pdf["rest"].iloc[0]))
         return pdf[["key", "tokens"]].assign(take=take)
 
-    take = wanted.groupBy("key").applyInPandas(one, "key string, tokens long, take long")
+    # An express number of tasks, so that sources aren't folded into one.
+    take = wanted.repartition(wanted.sparkSession.sparkContext.defaultParallelism, "key").groupBy("key").applyInPandas(one, "key string, tokens long, take long")
     h = F.xxhash64("doc_id", F.lit(seed))
     dealt = counted.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(RANK_BUCKETS)))
     by_bucket = dealt.groupBy("key", "tokens", "_b").agg(F.count(F.lit(1)).alias("_n"))

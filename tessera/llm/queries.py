@@ -209,7 +209,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     mix = mixing.select(counted, planned)
     got = mix.groupBy("key").agg(F.sum(F.col("tokens") * F.col("passes")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("passes").alias("most_passes"))
     got = planned.join(got, "key", "left").fillna(0, ["tokens", "documents", "most_passes"])
-    return got.select("source", "target_weight", "goal", "tokens", (F.col("tokens") / F.sum("tokens").over(W.partitionBy())).alias("share"), "documents", "most_passes", "falls_short")
+    return got.select("source", "target_weight", "goal", "tokens", (F.col("tokens") / F.sum("tokens").over(W.partitionBy())).alias("share"), "documents", "most_passes", "falls_short", (F.col("goal") - F.col("tokens")).alias("gap"))
 
 
 # --- 8: wrong encodings ------------------------------------------------------------------------------------------------

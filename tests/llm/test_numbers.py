@@ -243,6 +243,25 @@ def test_fit_reaches_wide_budgets():
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True)) and budget - lengths[0] <= got <= budget
 
 
+def test_fit_of_long_documents():
+    """Half the tokens of documents that are much longer than the least window: as near as the lengths allow."""
+    lengths = list(range(200_000, 250_000, 1_000))
+    budget = 3 * sum(lengths) // 2
+    take = mixing.fit(lengths, [3] * 50, budget)
+    assert all(0 <= t <= 3 for t in take) and budget - sum(a * b for a, b in zip(take, lengths, strict=True)) == budget % 1_000 == 500
+
+
+def test_fit_of_very_many_lengths_needs_little_memory():
+    import tracemalloc
+
+    lengths = list(range(1, 10_001))
+    tracemalloc.start()
+    take = mixing.fit(lengths, [2] * 10_000, 31_234_567)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(a * b for a, b in zip(take, lengths, strict=True)) == 31_234_567 and peak < 30_000_000
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     text = lambda i: " ".join(["valve"] * (i % 13))
