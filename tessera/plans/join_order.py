@@ -104,5 +104,5 @@ def join(relations: Sequence[Relation], conditions: Sequence[Condition]) -> Data
                 on = on & c.on
             out = out.join(df, on)
         else:
-            out = out.crossJoin(df)
+            raise ValueError(f"nothing connects {sorted(names - more)} with {sorted(more)}: that would be a cross join")
     return out

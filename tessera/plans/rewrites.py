@@ -74,7 +74,8 @@ def top_groups(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bo
     for c in cols:
         e = F.col(c).eqNullSafe(F.col(f"_{c}"))
         cond = e if cond is None else cond & e
-    kept = df.join(F.broadcast(first.select(*[F.col(c).alias(f"_{c}") for c in cols])), cond, "left_semi")  # n rows
+    first = first.select(*[F.col(c).alias(f"_{c}") for c in cols])
+    kept = df.join(F.broadcast(first) if n <= 10_000 else first, cond, "left_semi")  # n rows of sort keys
     rest = [F.col(k).asc_nulls_first() for k in keys if k not in cols]
     return kept.groupBy(*keys).agg(*aggregates).orderBy(*by, *rest).limit(n)
 

@@ -31,12 +31,12 @@ def has_format(spark: SparkSession, name: str) -> bool:
 
 
 def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), mode: str = "errorifexists", **options: str) -> None:
-    """Write ``df``. With ``partition_by`` rows are first brought together by those columns, and large partitions are split by a
-    second hash, so there are few files per partition and no task gets a whole hot one. ``sort_by`` orders rows within files,
-    which lets readers skip row groups by their statistics."""
+    """Write ``df``. With ``partition_by`` rows are first brought together by those columns as a rebalancing that adaptive
+    execution sizes: small partitions share a task, a hot one is split into tasks of the advisory size, so there are few files
+    per partition and none is one task's. ``sort_by`` orders rows within files, which lets readers skip row groups by their
+    statistics."""
     if partition_by:
-        others = [c for c in df.columns if c not in partition_by]
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*others), F.lit(8)) if others else F.lit(0))
+        df = df.hint("rebalance", *partition_by)
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     w = df.write.format(fmt).mode(mode).options(**(_ROUND_TRIP.get(fmt, {}) | options))
