@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from ..sources import parquet_blocks
+from ..sources.paths import filesystem
 
 #: Name of the place of unpartitioned files (a fixed value of the format).
 NO_PARTITION = "__NO_PARTITION_ID__"
@@ -106,15 +107,6 @@ def plan(f: DataFrame, small: int = SMALL, target: int = TARGET, keys: Sequence[
     return assigned(f, keys, identity, small, target).where("output IS NOT NULL")
 
 
-def _filesystem(uri: str):  # noqa: ANN202
-    """The file system of a URI and the path in it."""
-    from pyarrow import fs
-
-    if uri.startswith("file:") or ":/" not in uri:
-        return fs.LocalFileSystem(), "/" + re.sub(r"^file:", "", uri).lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def listing(spark: SparkSession, src: str) -> DataFrame:
     """The Parquet files below a folder: partition (the folder, seen from ``src``), name and length. Folders are listed by tasks,
     level by level, so neither names nor folders pass through the driver. Hidden names (as Spark takes them) are left out."""
@@ -122,7 +114,7 @@ def listing(spark: SparkSession, src: str) -> DataFrame:
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        where, base = _filesystem(src)
+        where, base = filesystem(src)
         for b in batches:
             for folder in b["partition"]:
                 rows = []
@@ -151,8 +143,8 @@ def _join_group(src: str, out_dir: str, partition: str, output: int | None, smal
     """Write one output per signature of a group's files (name, length)."""
     from pyarrow import parquet as pq
 
-    source, root = _filesystem(src)
-    where, base = _filesystem(out_dir)
+    source, root = filesystem(src)
+    where, base = filesystem(out_dir)
     inside = lambda n: f"{root}/{partition}/{n}".replace("//", "/")
     by_signature: dict[bytes, list[tuple[str, int]]] = {}
     for name, size in sorted(small):
