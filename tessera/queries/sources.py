@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import udfs
 from ..scratch import new_path
 from ..sources import files, tables
+from ..sources.statements import Statements
 from ..streaming import streams
 from .registry import query, table
 
@@ -153,6 +154,30 @@ def dml_time_travel(spark: SparkSession, d: str) -> DataFrame:
     return t.read(0)
 
 
+@query("""
+SELECT c_custkey, upper(c_name) AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 10 <> 3
+UNION ALL SELECT c_custkey + 10000000, 'new', c_nationkey, NULL, NULL FROM customer WHERE c_custkey % 10 = 4""")
+def dml_statements(spark: SparkSession, d: str) -> DataFrame:
+    """UPDATE, DELETE, MERGE and OPTIMIZE as SQL."""
+    s = Statements(spark, customers=_table(spark, d))
+    source = s._view(table(spark, d, "customer").where("c_custkey % 10 = 4").withColumn("c_custkey", F.col("c_custkey") + 10_000_000))
+    s.run("UPDATE customers SET c_name = upper(c_name)")
+    s.run("DELETE FROM customers WHERE c_custkey % 10 = 3")
+    s.run(f"MERGE INTO customers t USING {source} s ON t.c_custkey = s.c_custkey WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT (c_custkey, c_name, c_nationkey) VALUES (s.c_custkey, 'new', s.c_nationkey)")
+    s.run("OPTIMIZE customers ORDER BY (c_nationkey)")
+    return s.run("SELECT * FROM customers VERSION AS OF 3")
+
+
+@query("SELECT * FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
+def dml_skipped_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files left out by the log's statistics."""
+    t = tables.Table(spark, new_path(spark, "orders"))
+    o = table(spark, d, "orders")
+    t.create(o.where("o_orderkey < 500"), ["o_orderkey"])
+    t.insert(o.where("o_orderkey >= 500"))
+    return t.read(ranges={"o_orderkey": (100, 900)})
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 def _events(spark: SparkSession, d: str) -> DataFrame:
     like = table(spark, d, "events")

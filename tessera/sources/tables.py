@@ -250,9 +250,11 @@ class Table:
         touched = self._touched(e, self._scan(e).where(cond)) if e["files"] else []
         return self._replace(e, touched, self._read(touched, schema).where(~F.coalesce(cond, F.lit(False))), "delete")
 
-    def merge(self, source: DataFrame, on: Sequence[str], update: Mapping[str, Column | str] | None = None, delete_when: Column | str | None = None, insert: bool = True) -> int:
-        """MERGE: rows whose keys match a source row are updated (expressions over ``t.column`` and ``s.column``; by default all
-        columns from the source) or deleted if ``delete_when`` holds; source rows without a match are inserted."""
+    def merge(self, source: DataFrame, on: Sequence[str], update: Mapping[str, Column | str] | None = None, delete_when: Column | str | None = None, insert: bool | Mapping[str, Column | str] = True,
+              update_when: Column | str | None = None, insert_when: Column | str | None = None) -> int:
+        """MERGE: rows whose keys match a source row are deleted if ``delete_when`` holds, or else updated (expressions over
+        ``t.column`` and ``s.column``; by default all columns from the source) if ``update_when`` does; source rows without a match
+        are inserted, with the values of ``insert`` if it names some."""
         e = self._entry()
         schema = T.StructType.fromJson(e["schema"])
         cols = [f.name for f in schema]
@@ -267,13 +269,16 @@ class Table:
         touched = self._touched(e, self._scan(e).join(source.select(*on).distinct(), list(on), "left_semi")) if e["files"] else []
         values = update if update is not None else {c: F.col(f"s.{c}") for c in cols if c in source.columns}
         hit = F.col("s._source").isNotNull()
+        change = hit if update_when is None else hit & F.coalesce(_as_column(update_when), F.lit(False))
         joined = self._read(touched, schema).alias("t").join(source.alias("s"), keys, "left")
         if delete_when is not None:
             joined = joined.where(~(hit & F.coalesce(_as_column(delete_when), F.lit(False))))
-        out = joined.select(*[F.when(hit, _as_column(values[c])).otherwise(F.col(f"t.{c}")).alias(c) if c in values else F.col(f"t.{c}").alias(c) for c in cols])
+        out = joined.select(*[F.when(change, _as_column(values[c])).otherwise(F.col(f"t.{c}")).alias(c) if c in values else F.col(f"t.{c}").alias(c) for c in cols])
         if insert:
-            fresh = source.alias("s").join(target.alias("t"), keys, "left_anti")
-            out = out.unionByName(fresh.select(*[(F.col(f"s.{f.name}") if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
+            fresh = source.alias("s").join(target.alias("t"), keys, "left_anti").alias("s")
+            fresh = fresh if insert_when is None else fresh.where(_as_column(insert_when))
+            new = insert if isinstance(insert, Mapping) else {c: F.col(f"s.{c}") for c in cols if c in source.columns}
+            out = out.unionByName(fresh.select(*[(_as_column(new[f.name]) if f.name in new else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
         return self._replace(e, touched, out, "merge")
 
     def optimize(self, cluster_by: Sequence[str] | None = None, small: int = 64 << 20) -> int:

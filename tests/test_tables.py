@@ -73,6 +73,31 @@ def test_merge(spark, t):
         t.merge(spark.createDataFrame([(1, "x", 0.0), (1, "y", 0.0)], "k int, v string, x double"), ["k"])
 
 
+def test_statements(spark, t, tmp_path):
+    from tessera.sources.statements import Statements
+
+    s = Statements(spark, acc=t)
+    s.run("UPDATE acc SET x = x + 1, v = concat(v, '!') WHERE k >= 2")
+    s.run("INSERT INTO acc SELECT 7, 'g', 7.0D")
+    s.run("DELETE FROM acc AS a WHERE a.x IS NULL")
+    assert rows(s.run("SELECT * FROM acc")) == sorted([(1, "a", 1.0), (None, "c", 3.0), (4, "d!", 5.0), (7, "g", 7.0)], key=str)
+    assert s.run("SELECT count(*) AS n FROM acc VERSION AS OF 0").first().n == 4 and s.run("SELECT a.v FROM acc VERSION AS OF 0 a JOIN acc b ON a.k = b.k WHERE a.k = 4").first().v == "d"
+    s.run("""MERGE INTO acc AS tgt USING (SELECT explode(array(1, 4, 9)) AS k, 'm' AS v, CAST(NULL AS DOUBLE) AS x) AS src ON tgt.k = src.k
+             WHEN MATCHED AND tgt.x > 4 THEN DELETE WHEN MATCHED THEN UPDATE SET v = concat(src.v, tgt.v) WHEN NOT MATCHED THEN INSERT (k, v) VALUES (src.k, 'new')""")
+    assert rows(s.run("SELECT * FROM acc")) == sorted([(1, "ma", 1.0), (None, "c", 3.0), (7, "g", 7.0), (9, "new", None)], key=str)
+    assert s.run("OPTIMIZE acc ORDER BY (x, v)").first().version == 5 and s.run("VACUUM acc RETAIN 2 VERSIONS").first().files_removed > 0
+    for text in ("CACHE DATA SELECT v FROM acc WHERE k > 1 AFTER 5 CACHEPROPERTIES (a = 1)", "CACHE META DATA SELECT * FROM acc", "CACHE FILES SELECT v FROM acc"):
+        assert s.run(text).first().started
+    assert s.cached[0].columns == ["v"] and s.cached[1].columns == ["k", "v", "x"] and s.cached[0].is_cached
+    s.release()
+    with pytest.raises(ValueError):
+        s.run("CACHE DATA SELECT v FROM acc AFTER 99")
+    with pytest.raises(ValueError):
+        s.run("UPDATE nowhere SET a = 1")
+    s.run("INSERT OVERWRITE acc SELECT 1, 'only', 0.0D")
+    assert rows(t.read()) == [(1, "only", 0.0)]
+
+
 def test_empty_table_and_races(spark, tmp_path):
     t = Table(spark, str(tmp_path / "e"))
     empty = spark.createDataFrame([], "k int")
