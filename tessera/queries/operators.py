@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, joins
+from ..operators import aggregates, filters, joins
 from .registry import query, sql, table
 
 # --- projection, filter, predicates ------------------------------------------------------------------------------------
@@ -102,6 +102,13 @@ def join_asof(spark: SparkSession, d: str) -> DataFrame:
     return joins.asof_join(left, right, ["user_id"], "ts", values=["last_click"]).select("event_id", "last_click")
 
 
+@query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 400000")
+def join_bloom(spark: SparkSession, d: str) -> DataFrame:
+    """The large side is filtered by the small side's keys before the shuffle."""
+    o = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    return filters.bloom_join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), o, ["l_orderkey"])
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def join_not_in(spark: SparkSession, d: str) -> DataFrame:
     """Null-aware anti join."""

@@ -210,3 +210,32 @@ def test_mathematics_takes_all_rows(spark, duck):
     assert {QUERIES[q](spark, DATA).count() for q in ("fn_math_real", "fn_math_more")} == {lines}
     got = QUERIES["fn_try_arithmetic"](spark, DATA)
     assert got.count() == sales and got.where("m <= -4").count() > 0 and got.where("m <= -4 AND s IS NOT NULL").count() == 0
+
+
+def test_bloom_filters(spark):
+    from tessera.operators import filters
+
+    big = spark.range(20_000).selectExpr("CAST(id AS INT) AS k", "id AS v").unionByName(spark.sql("SELECT CAST(NULL AS INT) AS k, 1L AS v"))
+    few = spark.range(100).selectExpr("id * 7 AS k", "id AS w").unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS k, 1L AS w"))
+    made = few.where("k IS NOT NULL").selectExpr("CAST(k AS INT) AS k").agg(filters.bloom(few, ["k"], 100).alias("b")).first().b
+    kept = big.where(filters.might_contain(big, made, ["k"]))
+    assert kept.join(few.where("k IS NOT NULL"), "k", "left_semi").count() == 100 and kept.count() < 1_000
+    got = filters.bloom_join(big, few, ["k"])
+    assert values(got, "k", "v", "w") == values(big.join(few, "k"), "k", "v", "w") and "might_contain" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert filters.bloom_join(big, few.limit(0), ["k"], "left_semi").count() == 0
+
+
+def test_runtime_bloom_filter_of_the_optimizer(spark, tmp_path):
+    """With the session's settings Spark filters a large side by the small one's keys, once sizes call for it."""
+    spark.range(50_000).selectExpr("id AS k", "id AS v").write.parquet(str(tmp_path / "big"))
+    spark.range(5_000).selectExpr("id AS k2", "id % 10 AS w").write.parquet(str(tmp_path / "small"))
+    sizes = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        x = spark.read.parquet(str(tmp_path / "big")).join(spark.read.parquet(str(tmp_path / "small")).where("w = 3"), F.col("k") == F.col("k2"))
+        assert "might_contain" in x._jdf.queryExecution().optimizedPlan().toString() and x.count() == 500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
