@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,17 +42,17 @@ def _common_type(types: list[T.DataType]) -> T.DataType:
 
 
 def runs(df: DataFrame, groups: Sequence[str], measures: Sequence[str], parts: Sequence[str] = ()) -> DataFrame:
-    """Counted values: columns ``groups``, ``parts``, measure, value, n. One map-side combined shuffle, whose size is that
+    """Counted values: columns ``groups``, ``parts``, measure, value, n. One scan and one map-side combined shuffle, whose size is that
     of the distinct values rather than of the rows; equal values of a hot group become one row."""
     kind = _common_type([df.schema[m].dataType for m in measures])
-    out = None
-    for m in measures:
+
+    def value(m: str) -> Column:
         v = F.col(m).cast(kind)
-        v = F.when(v == 0, F.lit(0.0)).otherwise(v) if isinstance(kind, T.DoubleType) else v
-        one = df.where(F.col(m).isNotNull()).select(*groups, *parts, F.lit(m).alias("measure"), v.alias("value"))
-        one = one.groupBy(*groups, *parts, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        return F.when(v == 0, F.lit(0.0)).otherwise(v) if isinstance(kind, T.DoubleType) else v
+
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), value(m).alias("value")) for m in measures])
+    long = df.select(*groups, *parts, F.inline(each)).where(F.col("value").isNotNull())
+    return long.groupBy(*groups, *parts, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_runs(a: DataFrame, groups: Sequence[str]) -> DataFrame:
