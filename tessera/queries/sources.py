@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..scratch import new_path
-from ..sources import files, tables
+from ..sources import files, table_source, tables
 from ..sources.statements import Statements
 from ..streaming import streams
 from .registry import query, table
@@ -178,6 +178,15 @@ def dml_skipped_files(spark: SparkSession, d: str) -> DataFrame:
     return t.read(ranges={"o_orderkey": (100, 900)})
 
 
+@query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_custkey >= 100 GROUP BY 1")
+def io_data_source(spark: SparkSession, d: str) -> DataFrame:
+    """A versioned table through the data source interface (a batch scan)."""
+    table_source.register(spark)
+    t = _table(spark, d)
+    x = spark.read.format("tessera").load(t.path).where("c_custkey >= 100")
+    return x.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------------
 def _events(spark: SparkSession, d: str) -> DataFrame:
     like = table(spark, d, "events")
@@ -237,6 +246,13 @@ def stream_without_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_to_table(x.select("user_id", "event_type"), "append", "first").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_type, event_id, user_id, value FROM events")
+def stream_file_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A stream into partitioned files, and what they hold."""
+    out = streams.run_to_files(_events(spark, d).select("event_type", "event_id", "user_id", "value"), partition_by=["event_type"])
+    return spark.read.parquet(out).select("event_type", "event_id", "user_id", "value")
+
+
 @query("SELECT user_id, count(*) AS n, round(coalesce(sum(value), 0), 2) AS total FROM events GROUP BY 1")
 def stream_running_totals(spark: SparkSession, d: str) -> DataFrame:
     """State of one's own."""

@@ -7,7 +7,7 @@ started again goes on where it stopped. Rows with a null event time, or later th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
@@ -82,3 +82,16 @@ def run_to_table(stream: DataFrame, mode: str, name: str = "stream") -> DataFram
     if q.exception():
         raise q.exception()
     return spark.read.parquet(out).drop("b")
+
+
+def run_to_files(stream: DataFrame, fmt: str = "parquet", name: str = "stream-files", partition_by: Sequence[str] = ()) -> str:
+    """Run a stream over everything there is into files of a format, by Spark's own file sink: every row once, even if a batch is
+    run again. Gives the folder; a plain read of it sees only files of finished batches."""
+    spark = stream.sparkSession
+    out, state = new_path(spark, name), new_path(spark, f"{name}-state")
+    w = stream.writeStream.format(fmt).outputMode("append").option("checkpointLocation", state).trigger(availableNow=True)
+    q = (w.partitionBy(*partition_by) if partition_by else w).start(out)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return out

@@ -53,6 +53,35 @@ def test_files_are_skipped_by_the_log(spark, tmp_path):
     assert t.read(ranges={"v": ("3", "3")}).count() == 143 and t.read(ranges={"id": (5000, None)}).count() == 0
 
 
+def test_data_source(spark, t):
+    """The same rows as ``read``, as a batch scan that leaves out files by statistics."""
+    from tessera.sources import table_source
+
+    table_source.register(spark)
+    for k in range(100, 112):
+        t.insert(spark.createDataFrame([(k, "n", None)], "k int, v string, x double"))
+    x = spark.read.format("tessera").load(t.path)
+    assert rows(x) == rows(t.read()) and x.schema == t.read().schema
+    assert rows(spark.read.format("tessera").option("version", 3).load(t.path)) == rows(t.read(3))
+    one = x.where("k >= 105 AND k < 107")
+    assert sorted(r.k for r in one.collect()) == [105, 106] and one.rdd.getNumPartitions() == 3  # 107 may be in the range that was pushed
+    assert "BatchScan" in one._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW by_format USING tessera OPTIONS (path '{t.path}', version '0')")
+    assert spark.table("by_format").count() == 4
+
+
+def test_column_indexes_skip_pages(spark, tmp_path):
+    """Of a sorted row group only the pages that may hold the value are read."""
+    x = spark.range(100_000).coalesce(1)
+    x.write.option("parquet.page.row.count.limit", "1000").parquet(str(tmp_path / "pages"))
+    y = spark.read.parquet(str(tmp_path / "pages")).where("id = 5")
+    assert y.collect()[0].id == 5
+    plan = y._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,5)]" in plan.toString()
+    assert scan.metrics().get("numOutputRows").get().value() <= 2000
+
+
 def test_many_versions_are_read_from_checkpoints(spark, tmp_path):
     t = Table(spark, str(tmp_path / "c"))
     t.create(spark.createDataFrame([(0,)], "k int"))
