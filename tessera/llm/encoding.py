@@ -67,10 +67,13 @@ _USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
 _LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
 # Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones.
-_ODD = re.compile("[A-Za-z][\u0400-\u052f]|[\u0400-\u052f][A-Za-z]|[A-Za-z][\u0370-\u03ff\u2500-\u25ff][A-Za-z]|[A-Za-z][²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§][a-z]")
+_SIGNS = "²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§"
+_GREEK, _CYRILLIC, _LATIN = "\u0370-\u03ff\u2500-\u25ff", "\u0400-\u052f", "[A-Za-z]"
+# The sign comes first in the pattern, so a search runs from sign to sign and not from letter to letter.
+_ODD = re.compile(f"[{_CYRILLIC}{_GREEK}{_SIGNS}](?:(?<={_LATIN}[{_CYRILLIC}])|(?<=[{_CYRILLIC}])(?={_LATIN})|(?<={_LATIN}[{_GREEK}])(?={_LATIN})|(?<={_LATIN}[{_SIGNS}])(?=[a-z]))")
 _ACCENTED = re.compile("[À-ÖØ-öø-ÿ]{4,}")
 _HIGH = re.compile("[^\x00-\x7f]{4}")
-_ODD_SIGNS = frozenset(map(chr, (*range(0x370, 0x530), *range(0x2500, 0x2600)))) | frozenset("²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§")
+_ODD_SIGNS = frozenset(map(chr, (*range(0x370, 0x530), *range(0x2500, 0x2600)))) | frozenset(_SIGNS)
 _WESTERN = re.compile("[\x80-\u036f\u2010-\u22ff]").match
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«", '"': '"', "'": "'", "「": "」", "『": "』", "‹": "›"}
 _CLOSING = frozenset("".join(_QUOTES.values()))

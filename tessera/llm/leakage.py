@@ -29,6 +29,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -325,7 +326,7 @@ def find(ix: Index, texts: list[str]) -> list[tuple[int, int, float, float, floa
     ids: list[int] = []
     ends = []
     for t in texts:
-        ids += [get(w, 0) for w in words(encoding.repair(t)[0])]
+        ids.extend(map(get, words(encoding.repair(t)[0]), repeat(0)))
         ends.append(len(ids))
     if not ids:
         return []
