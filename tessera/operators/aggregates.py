@@ -27,8 +27,9 @@ def grouping_sets(df: DataFrame, columns: Sequence[str], sets: Sequence[Sequence
 
 def two_level_sum(df: DataFrame, keys: Sequence[str], value: str, salts: int = 32, name: str = "total") -> DataFrame:
     """Sum per key in two levels, for measures whose map-side combination is switched off or of no use: each key's rows are
-    first added up in ``salts`` parts, so a hot key is spread over as many tasks."""
-    part = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*keys, "_salt").agg(F.sum(value).alias("_part"))
+    first added up in ``salts`` parts (by a hash of row and partition, which a task that runs again repeats), so a hot key is spread
+    over as many tasks."""
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(salts))).groupBy(*keys, "_salt").agg(F.sum(value).alias("_part"))
     return part.groupBy(*keys).agg(F.sum("_part").alias(name))
 
 

@@ -45,15 +45,17 @@ def io_partitioned(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def io_bucketed(spark: SparkSession, d: str) -> DataFrame:
     """Bucketed tables joined without a shuffle."""
-    made = []
-    for n, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
-        path, name = new_path(spark, f"bucketed-{n}"), f"tessera_bucketed_{n}"
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        table(spark, d, n).write.format("parquet").bucketBy(8, k).sortBy(k).option("path", path).mode("overwrite").saveAsTable(name)
-        made.append(spark.table(name))
+    made = [files.bucketed(table(spark, d, n), new_path(spark, f"bucketed-{n}"), [k], 8) for n, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
     return made[0].join(made[1], F.col("o_orderkey") == F.col("l_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("SELECT l_orderkey, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+def agg_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate by the buckets' column: both of its steps in one stage, without a shuffle."""
+    x = files.bucketed(table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice"), new_path(spark, "bucketed-lines"), ["l_orderkey"], 8)
+    return x.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
 @query("SELECT count(*) AS n, true AS named, true AS sized FROM nation")
 def io_file_facts(spark: SparkSession, d: str) -> DataFrame:
     """Hidden columns of a file scan."""

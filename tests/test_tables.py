@@ -70,6 +70,16 @@ def test_data_source(spark, t):
     assert spark.table("by_format").count() == 4
 
 
+def test_buckets_need_no_shuffle(spark, duck):
+    from comparing import DATA
+
+    from tessera.queries.catalog import QUERIES
+
+    plan = QUERIES["agg_bucketed"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("HashAggregate") == 2
+    assert "Exchange hashpartitioning" not in QUERIES["io_bucketed"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_column_indexes_skip_pages(spark, tmp_path):
     """Of a sorted row group only the pages that may hold the value are read."""
     x = spark.range(100_000).coalesce(1)
