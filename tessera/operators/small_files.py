@@ -81,12 +81,12 @@ def sharded(items: DataFrame, keys: list[str], by: Column, rows: int, shard_rows
 def assigned(f: DataFrame, keys: Sequence[str], identity: str, small: int = SMALL, target: int = TARGET) -> DataFrame:
     """``f`` with the number of the ``output`` within its partition that each small file goes to; null: the file is left alone.
     ``f``: columns keys (not null), identity (unique), records, bytes. It is computed once and written; everything else comes
-    from that table.
+    from that table. Columns called output, or beginning with an underscore, are left out.
 
     The small files of a partition stand in a row (by hash bucket, then identity) which is cut into outputs of even size. Bytes
     are summed within (partition, bucket) and the buckets' sums within the partition, so a hot partition is never gathered."""
     keys = list(keys)
-    f = written(f, "files")
+    f = written(f.select(*[c for c in f.columns if c != "output" and not c.startswith("_")]), "files")
     few = F.coalesce((F.col("records") > 0) & (F.col("bytes") < small), F.lit(False))
     s = f.withColumn("_bytes", F.when(few, F.col("bytes"))).withColumn("_bucket", F.pmod(F.xxhash64(identity), F.lit(max(1, -(-f.count() // SHARD_FILES)))))
     of = W.partitionBy(*keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import udfs
 from ..scratch import new_path
-from ..sources import files, table_source, tables
+from ..sources import delta_log, files, table_source, tables
 from ..sources.statements import Statements
 from ..streaming import streams
 from .registry import query, table
@@ -180,6 +180,16 @@ def dml_skipped_files(spark: SparkSession, d: str) -> DataFrame:
     return t.read(ranges={"o_orderkey": (100, 900)})
 
 
+@query("SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def io_delta_log(spark: SparkSession, d: str) -> DataFrame:
+    """A table in the Delta format: written, appended to, and an earlier version read."""
+    path, c = new_path(spark, "delta"), table(spark, d, "customer")
+    delta_log.write(c.where("c_mktsegment = 'MACHINERY'"), path, ["c_mktsegment"])
+    delta_log.write(c.where("c_mktsegment NOT IN ('MACHINERY', 'BUILDING')"), path)
+    delta_log.write(c.where("c_mktsegment = 'BUILDING'"), path, overwrite=True)
+    return delta_log.read(spark, path, 1)
+
+
 @query("SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_custkey >= 100 GROUP BY 1")
 def io_data_source(spark: SparkSession, d: str) -> DataFrame:
     """A versioned table through the data source interface (a batch scan)."""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .paths import filesystem
+from .paths import filesystem, put_new
 
 #: Versions after which the whole list of files is written.
 CHECKPOINT = 10
@@ -96,20 +96,10 @@ class Table:
             s.close()
 
     def _put(self, name: str, content: dict) -> None:
-        """Write a file of the log aside, then rename it; fails if it exists."""
-        jvm = self.spark.sparkContext._jvm
-        aside, fs = self._fs(f"{self.path}/_log/_{uuid.uuid4().hex}")
-        to, _ = self._fs(f"{self.path}/_log/{name}")
-        out = fs.create(aside, False)
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        """Add a file to the log; fails if it exists."""
         try:
-            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-            context.rename(fs.makeQualified(aside), fs.makeQualified(to), options)
-        except Exception as e:
-            fs.delete(aside, False)
+            put_new(self.spark, f"{self.path}/_log/{name}", json.dumps(content))
+        except FileExistsError as e:
             raise ConcurrentWrite(f"{name} exists") from e
 
     def _entry(self, version: int | None = None) -> dict:

@@ -99,6 +99,8 @@ def test_plan_takes_each_small_file_once(spark):
     assert (per["count"] >= 2).all() and (per["sum"] < 16_000).all()
     assert (per[per["sum"] < 5000].reset_index()["partition"] != "hot").all()
     assert small_files.plan(f.limit(0)).count() == 0
+    more = f.selectExpr("*", "'x' AS output", "1 AS _bytes", "'y' AS name").limit(50)
+    assert set(small_files.plan(more).columns) == {*f.columns, "name", "output"}
 
 
 def test_hot_partitions_are_split(spark):

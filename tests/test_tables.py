@@ -53,6 +53,38 @@ def test_files_are_skipped_by_the_log(spark, tmp_path):
     assert t.read(ranges={"v": ("3", "3")}).count() == 143 and t.read(ranges={"id": (5000, None)}).count() == 0
 
 
+def test_delta_log(spark, tmp_path):
+    from tessera.sources import delta_log
+
+    path = str(tmp_path / "d")
+    x = spark.sql("SELECT id, IF(id % 4 = 0, NULL, concat('a b/', id % 4)) AS p, id * 0.5D AS v FROM range(40)")
+    assert delta_log.write(x, path, ["p"]) == 0 and rows(delta_log.read(spark, path)) == rows(x)
+    assert delta_log.write(spark.sql("SELECT 1.0D AS v, 'new' AS p, 100 AS id"), path) == 1
+    assert delta_log.read(spark, path).count() == 41 and delta_log.read(spark, path, 0).count() == 40
+    one = delta_log.read(spark, path).where("p = 'a b/1'")
+    assert one.count() == 10 and "PartitionFilters: [isnotnull(p" in one._jdf.queryExecution().executedPlan().toString()
+    delta_log.write(x.where("id < 8"), path, overwrite=True)
+    assert rows(delta_log.read(spark, path)) == rows(x.where("id < 8")) and delta_log.read(spark, path, 1).count() == 41
+    # A checkpoint stands for the commits before it.
+    log = tmp_path / "d" / "_delta_log"
+    files, schema, parts = delta_log._state(spark, path, None)
+    kept = files.selectExpr("named_struct('path', path, 'deletionVector', CAST(NULL AS STRUCT<storageType: STRING>)) AS add")
+    head = spark.read.json(str(log / f"{0:020d}.json")).where("metaData IS NOT NULL OR protocol IS NOT NULL").selectExpr("named_struct('minReaderVersion', 1, 'readerFeatures', CAST(NULL AS ARRAY<STRING>)) AS protocol",
+        "IF(metaData IS NULL, NULL, named_struct('schemaString', metaData.schemaString, 'partitionColumns', metaData.partitionColumns, 'configuration', CAST(map() AS MAP<STRING, STRING>))) AS metaData")
+    head.unionByName(kept, allowMissingColumns=True).coalesce(1).write.parquet(str(tmp_path / "c"))
+    next((tmp_path / "c").glob("*.parquet")).rename(log / f"{2:020d}.checkpoint.parquet")
+    for k in range(3):
+        (log / f"{k:020d}.json").unlink()
+    assert rows(delta_log.read(spark, path)) == rows(x.where("id < 8"))
+    delta_log.write(x.where("id = 39"), path)
+    assert delta_log.read(spark, path).count() == 9
+    with pytest.raises(FileNotFoundError):
+        delta_log.read(spark, path, 1)
+    (log / f"{4:020d}.json").write_text('{"protocol": {"minReaderVersion": 3, "readerFeatures": ["deletionVectors"]}}')
+    with pytest.raises(delta_log.Unsupported):
+        delta_log.read(spark, path)
+
+
 def test_data_source(spark, t):
     """The same rows as ``read``, as a batch scan that leaves out files by statistics."""
     from tessera.sources import table_source
