@@ -2,7 +2,8 @@
 
 Relations are joined along the graph of their equi conditions: first the smallest filtered relation, then always the connected
 relation with the smallest estimate, filtered ones first; parts of the graph that nothing connects are put together last, by the
-smallest first, so a Cartesian product is delayed as long as it can be. Relations that are only compared by inequalities come
+smallest first, so a Cartesian product is delayed as long as it can be, and refused if what is to be put to the rest has more than
+``PRODUCT_ROWS`` rows. Relations that are only compared by inequalities come
 after the equi-joined ones. Estimates are Catalyst's ``sizeInBytes`` after filters, or given by the caller.
 """
 
@@ -12,6 +13,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.joins import small_enough
+
+PRODUCT_ROWS = 1_000
 
 
 @dataclass
@@ -104,5 +110,7 @@ def join(relations: Sequence[Relation], conditions: Sequence[Condition]) -> Data
                 on = on & c.on
             out = out.join(df, on)
         else:
-            raise ValueError(f"nothing connects {sorted(names - more)} with {sorted(more)}: that would be a cross join")
+            if not small_enough(df, PRODUCT_ROWS):
+                raise ValueError(f"nothing connects {sorted(names - more)} with {sorted(more)}, and those are no few rows")
+            out = out.crossJoin(F.broadcast(df))
     return out

@@ -174,6 +174,12 @@ def test_join_order_delays_products_and_starts_small(spark):
     assert "CartesianProduct" not in out._jdf.queryExecution().toString() and out.count() == 1
 
 
+def test_join_order_refuses_large_products(spark):
+    rel = [join_order.Relation(n, spark.range(k).withColumnRenamed("id", n), size=k) for n, k in (("p", 5), ("q", 2000))]
+    with pytest.raises(ValueError, match="nothing connects"):
+        join_order.join(rel, [])
+
+
 def test_top_per_group(spark):
     x = spark.createDataFrame([(1, 5), (1, 5), (1, 4), (1, 3), (2, 1)], "k int, v int")
     by = [F.col("v").desc()]

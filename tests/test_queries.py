@@ -1,4 +1,4 @@
-"""Every query of the core that SQL can state, against DuckDB on the smallest tables; the others have to run."""
+"""Every query of the core against DuckDB on the smallest tables."""
 
 from __future__ import annotations
 
@@ -13,9 +13,8 @@ def test_same_rows_as_duckdb(spark, duck, name):
     same_as_duckdb(QUERIES[name](spark, DATA), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, duck, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+def test_every_query_of_the_core_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_without_the_training_data_operators(spark, duck):
