@@ -47,6 +47,8 @@ OTHER = ("cp1251", "koi8_r", "iso8859_5", "cp1253", "cp1255", "cp1256")
 USUAL_LETTERS = {"CYRILLIC": "оеаинтсрвл", "GREEK": "αοιετσνηυρ", "HEBREW": "יוהלאמרתבש", "ARABIC": "اليمنرتوبع"}
 #: Single-byte encodings that are taken for another one.
 LEGACY = ("koi8_r", "cp437", "cp850", "mac_roman", "cp1251", "cp866", "cp1253", "cp1250", "cp1257", "cp1252", "iso8859_2")
+#: Encodings that Western texts are written in.
+RIGHT = ("cp1252", "mac_roman", "cp850")
 MAX_LAYERS = 16
 
 _ASCII = frozenset(map(chr, range(128)))
@@ -62,18 +64,23 @@ _MIXING = frozenset(("GREEK", "EAST", "HANGUL", "THAI", "LAO"))
 _ENTITY = re.compile(r"&#?[A-Za-z0-9]+;")
 # What UTF-8 becomes: two signs or more in a row, or one of an East Asian script.
 _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
-# Signs that every longer Japanese or Chinese line holds some of.
-_USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，")
+# Signs that every longer Japanese, Chinese or Korean line holds some of.
+_USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，이는다에의가을를은하고로")
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
 _LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
+# Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones, capitals
+# between small letters.
+_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
 # Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones.
-_SIGNS = "²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§"
-_GREEK, _CYRILLIC, _LATIN = "\u0370-\u03ff\u2500-\u25ff", "\u0400-\u052f", "[A-Za-z]"
+_SIGNS = "²³¹¼½¾¿¸º»¶‡†‰‚„…÷×ⁿ√∞≈∆∂∑⌠⌡∩≡π¢£¥ªƒ§˙"
+_GREEK, _CYRILLIC, _LATIN = "\u0370-\u03ff\u2504-\u254f\u2552-\u25ff", "\u0400-\u052f", "[A-Za-z]"
 # The sign comes first in the pattern, so a search runs from sign to sign and not from letter to letter.
 _ODD = re.compile(f"[{_CYRILLIC}{_GREEK}{_SIGNS}](?:(?<={_LATIN}[{_CYRILLIC}])|(?<=[{_CYRILLIC}])(?={_LATIN})|(?<={_LATIN}[{_GREEK}])(?={_LATIN})|(?<={_LATIN}[{_SIGNS}])(?=[a-z]))")
+_CAPITAL = re.compile("[À-ÖØ-ÞŒŠŽŸ](?<=[a-z].)(?=[a-z])")
+_STUCK = re.compile("[À-ÖØ-öø-ÿ](?=[0-9])|(?<=[0-9])[À-ÖØ-öø-ÿ]|[€£¥¢§©®™°±²³¹×÷…†‡‰•¿¡«»“”„\xa0](?<=[A-Za-z].)(?=[A-Za-z])")
 _ACCENTED = re.compile("[À-ÖØ-öø-ÿ]{4,}")
 _HIGH = re.compile("[^\x00-\x7f]{4}")
-_ODD_SIGNS = frozenset(map(chr, (*range(0x370, 0x530), *range(0x2500, 0x2600)))) | frozenset(_SIGNS)
+_ODD_SIGNS = frozenset(map(chr, (*range(0x370, 0x530), *range(0x2500, 0x2600)))) | frozenset(_SIGNS) | frozenset(map(chr, range(0xC0, 0xDF)))
 _WESTERN = re.compile("[\x80-\u036f\u2010-\u22ff]").match
 _QUOTES = {"“": "”", "„": "“”", "‘": "’", "«": "»", "»": "«", '"': '"', "'": "'", "「": "」", "『": "』", "‹": "›"}
 _CLOSING = frozenset("".join(_QUOTES.values()))
@@ -163,7 +170,7 @@ def _plausible(c: str) -> bool:
     if kind[0] == "M":
         return script in _LIVING or "\u0300" <= c < "\u0329" or "\ufe00" <= c < "\ufe10"
     if kind[0] == "L":
-        return script in _LIVING and (script != "LATIN" or c < "\u0180" or c in _LATER_LATIN or "\u1ea0" <= c < "\u1efa")
+        return script in _LIVING and script != "EAST" and (script != "LATIN" or c < "\u0180" or c in _LATER_LATIN or "\u1ea0" <= c < "\u1efa")
     # Digits, punctuation and signs of those scripts, joiners, and pictures.
     if kind in ("Nd", "Po", "Pd", "Sc"):
         return unicodedata.name(c, "").split(" ")[0] in _LIVING
@@ -187,14 +194,14 @@ def _fits(before: str, old: str, new: str, after: str) -> int:
             return 0
     # Two letters of another script can be a word of it.
     if len(new) == 1 and len(old) == 2 and all(_script(c) in ("CYRILLIC", "GREEK") for c in old) and not (before + after).strip().isalpha():
-        return 1 if scripts[1] else 0
+        return 1 if scripts[1] else 2 if new < "\u0100" else 0  # no word has those two that stand for a Western sign
     for k in range(1, len(s) - 1):
         c = s[k]
         if _common(c) and c not in _FEW or not scripts[k] or scripts[k] == "EAST":
             continue
         near = [x for x, script in ((s[k - 1], scripts[k - 1]), (s[k + 1], scripts[k + 1])) if script == scripts[k] or script == "" and unicodedata.category(x)[0] == "M"]
-        if not near and (scripts[k] == "LATIN" or len(old) < 3):  # Å² is a unit; a letter of a rarer alphabet stands in a word
-            return 1
+        if not near and (scripts[k] == "LATIN" or len(old) < 3):  # a letter of a rarer alphabet stands in a word; Å² is a unit
+            return 0 if old in ("Å²", "Å³") else 1
         if scripts[k] == "LATIN" and c.islower() and len(near) == 1 and near[0].isupper() and s[k - 1] == near[0] and k > 1:
             return 0
     return 2
@@ -301,23 +308,42 @@ def _runs(text: str) -> tuple[str, int]:
 
 
 def _legacy(text: str) -> tuple[str, int]:
-    """Undo readings of one single-byte encoding as another in lines that hold words which can't be sound: the line is kept if
-    every sign of it is then an expected one and no such word is left."""
-    out, fixed = [], 0
-    for line in text.split("\n"):
-        strange = [] if line.isascii() else [c for c in line if c > "\x7f" and c not in _EXPECTED]
-        # Three letters of another script in a row are a word of that script.
-        if len(strange) >= 2 and len(_ODD.findall(line)) >= 2 and not _FOREIGN.search(line):
+    """Undo readings of one single-byte encoding as another in lines that hold several words which can't be sound, and then of the
+    same encodings in lines with one such word. A line is kept if every sign of it is then an expected one and no such word is
+    left."""
+    lines, fixed = text.split("\n"), 0
+    pairs: dict[tuple[str, str], None] = {}
+    rest = []
+    for k, line in enumerate(lines):
+        if line.isascii() or _FOREIGN.search(line):  # three letters of another script in a row are a word of that script
+            continue
+        capitals = len(_CAPITAL.findall(line))
+        odd = len(_ODD.findall(line)) + capitals
+        if odd >= 2 and sum(c > "\x7f" and c not in _EXPECTED for c in line) + capitals >= 2:
             for wrong in LEGACY:
                 raw = _raw(line, wrong)
-                if raw is None:
-                    continue
-                new = next((n for n in (_decoded(raw, right) for right in ("cp1252", "mac_roman", "cp850") if right != wrong) if n and all(c < "\x80" or c in _EXPECTED for c in n) and not _ODD.search(n)), None)
+                right, new = next(((right, new) for right in RIGHT if raw is not None and (new := _sound(raw, wrong, right))), (None, None))
                 if new:
-                    line, fixed = new, fixed + 1
+                    lines[k], fixed = new, fixed + 1
+                    pairs[wrong, right] = None
                     break
-        out.append(line)
-    return "\n".join(out), fixed
+        elif odd:
+            rest.append(k)
+    for k in rest:
+        for wrong, right in pairs:
+            raw = _raw(lines[k], wrong)
+            if raw is not None and (new := _sound(raw, wrong, right)):
+                lines[k], fixed = new, fixed + 1
+                break
+    return "\n".join(lines), fixed
+
+
+def _sound(raw: bytes, wrong: str, right: str) -> str | None:
+    """A line's bytes under another encoding, if that makes it sound."""
+    new = _decoded(raw, right) if right != wrong else None
+    if not new or not all(c < "\x80" or c in _EXPECTED for c in new) or _ODD.search(new) or _CAPITAL.search(new) or _STUCK.search(new):
+        return None
+    return new
 
 
 _FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]{3}")
@@ -363,28 +389,38 @@ def _usual(line: str) -> float:
     return sum(unicodedata.normalize("NFD", c)[0] in USUAL_LETTERS.get(script, "") for c in letters) / max(1, len(letters))
 
 
-def _east(n: str | None, intended: str) -> bool:
-    """Whether a decoded line reads as East Asian text."""
+def _east(n: str | None, intended: str, written: str) -> bool:
+    """Whether a decoded line reads as East Asian text; short lines without a usual sign only where the text around them is of the
+    same writing (``written``: kana, hangul or neither)."""
     if not n:
         return False
     if intended == "cp949":
-        return 2 * sum("가" <= c <= "힣" for c in n) >= sum(c > "\x7f" for c in n)
-    return sum("぀" <= c < "ꀀ" for c in n) * 2 >= len(n) and not _USUAL.isdisjoint(n)
+        return 2 * sum("가" <= c <= "힣" for c in n) >= sum(c > "\x7f" for c in n) and (written == "hangul" or not _USUAL.isdisjoint(n))
+    if sum("぀" <= c < "ꀀ" for c in n) * 2 < len(n):
+        return False
+    if written == "kana" and intended in ("cp932", "euc_jp"):
+        return all(c < "\x80" or "\u3000" <= c < "\u3100" or "一" <= c < "ꀀ" or "\uff00" <= c for c in n) or not _USUAL.isdisjoint(n)
+    return not _USUAL.isdisjoint(n)
+
+
+_KANA, _HANGUL = re.compile("[぀-ヿ]"), re.compile("[가-힣]")
 
 
 def _lines(text: str) -> tuple[str, int]:
     """Undo a single-byte reading of lines of a double-byte encoding."""
-    out, fixed = [], 0
+    out, fixed, written = [], 0, None
     for line in text.split("\n"):
         high = 0 if line.isascii() else len(line) - len(line.encode("ascii", "ignore"))
-        if high >= 4 and high * 4 >= len(line) and not any("぀" <= c < "ꀀ" for c in line):
+        if high >= 4 and high * 4 >= len(line) and not any("぀" <= c < "ꀀ" or "가" <= c <= "힣" for c in line):
+            if written is None:
+                written = "kana" if _KANA.search(text) else "hangul" if _HANGUL.search(text) else ""
             for e in ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251"):
                 raw = _raw(line, e)
                 if raw is None:
                     continue
                 if _decoded(raw, "utf-8") is not None:
                     break  # a layer of UTF-8, undone run by run
-                new = next((n for n, i in ((_decoded(raw, i), i) for i in INTENDED) if _east(n, i) and _gain(line, n)), None)
+                new = next((n for n, i in ((_decoded(raw, i), i) for i in INTENDED) if _east(n, i, written) and _gain(line, n)), None)
                 if new:
                     line, fixed = new, fixed + 1
                     break
@@ -412,7 +448,7 @@ def repair(text: str) -> tuple[str, int, int]:
         text, n = _lines(text) if not _LOST_SIGNS.isdisjoint(signs) else (text, 0)
         if not n:
             text, n = _runs(text)
-        if not n and not _ODD_SIGNS.isdisjoint(signs) and _ODD.search(text):
+        if not n and not _ODD_SIGNS.isdisjoint(signs) and (_ODD.search(text) or _CAPITAL.search(text)):
             text, n = _lines(text)
             if not n:
                 text, n = _legacy(text)

@@ -170,7 +170,7 @@ LANGUAGES = {
 }
 
 
-@pytest.mark.parametrize("text", [*(t for ts in LANGUAGES.values() for t in ts), "模", "5 Å², Å³ und Ø±0,1 für", "CAFÉ™ DÉJÀ… QUALITÉ»", "Её", "Ті Сі Рік", "ņ ģ ķ", "a×b and c×d", "TNFα and kΩ"])
+@pytest.mark.parametrize("text", [*(t for ts in LANGUAGES.values() for t in ts), "模", "5 Å², Å³ und Ø±0,1 für", "CAFÉ™ DÉJÀ… QUALITÉ»", "Её", "Ті Сі Рік", "ņ ģ ķ", "a×b and c×d", "TNFα and kΩ", "k÷h, Ω1 and Ω2, a÷b", "A─B─C", "naïve œuf Å²"])
 def test_sound_texts_of_other_languages(text):
     assert encoding.repair(text) == (text, 0, 0)
 
@@ -193,6 +193,18 @@ def test_lines_of_other_encodings(text, right, wrong):
     assert encoding.repair("".join(chr(b) if b < 0x80 else table[b] for b in text.encode(right)))[0] == text
 
 
+def test_lines_beside_sound_ones():
+    """What the text around it settles: a heading of Han signs, a line with a single impossible word."""
+    read = lambda text, right, wrong: "".join(chr(b) if b < 0x80 else {b: c for c, b in encoding._bytes(wrong).items()}[b] for b in text.encode(right))
+    ja = "従来の弁体では、弁体が摩耗しやすい。"
+    assert encoding.repair(read("【要約】", "cp932", "cp1252") + "\n" + ja)[0] == "【要約】\n" + ja
+    es = "El diseño pequeño permite una fabricación económica en una única pieza.\nSegún la figura, el émbolo tiene un tamaño de 3 mm."
+    assert encoding.repair(read(es, "cp1252", "mac_roman"))[0] == es
+    assert encoding.repair("µ = ВЅ · (a − b)")[0] == "µ = ½ · (a − b)"
+    fr = "ABRÉGÉ\nLe détecteur à l’été, déjà fixé, est réglé"
+    assert encoding.repair(read(fr, "cp1252", "cp437").replace("∆", "’"))[0].startswith("ABRÉGÉ\nLe détecteur")
+
+
 def test_many_layers():
     text = bad = "die Größe"
     for _ in range(6):
