@@ -67,6 +67,8 @@ _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
 # Signs that every longer Japanese, Chinese or Korean line holds some of.
 _USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，이는다에의가을를은하고로")
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
+# What is left of UTF-8 of which bytes were dropped: first bytes and signs of further ones, several times in a row.
+_REMAINS = re.compile("(?:[Â-ï][\xa0-¿€‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™›ŠŒŽšœžŸ]){2,}")
 _LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
 # Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones, capitals
 # between small letters.
@@ -309,7 +311,7 @@ def _runs(text: str) -> tuple[str, int]:
 
 def _legacy(text: str) -> tuple[str, int]:
     """Undo readings of one single-byte encoding as another in lines that hold several words which can't be sound, and then of the
-    same encodings in lines with one such word. A line is kept if every sign of it is then an expected one and no such word is
+    same encodings (or of any that restore a word of the text) in lines with one such word. A line is kept if every sign of it is then an expected one and no such word is
     left."""
     lines, fixed = text.split("\n"), 0
     pairs: dict[tuple[str, str], None] = {}
@@ -330,9 +332,11 @@ def _legacy(text: str) -> tuple[str, int]:
         elif odd:
             rest.append(k)
     for k in rest:
-        for wrong, right in pairs:
+        for wrong, right in pairs or ((w, r) for w in LEGACY for r in RIGHT):
             raw = _raw(lines[k], wrong)
-            if raw is not None and (new := _sound(raw, wrong, right)):
+            new = None if raw is None else _sound(raw, wrong, right)
+            # Without other lines to go by, one of the words has to stand elsewhere in the text as it is then.
+            if new and (pairs or any(len(b) > 3 and re.search(rf"\b{re.escape(b)}\b", text) for a, b in zip(_WORD.findall(lines[k]), _WORD.findall(new), strict=False) if a != b)):
                 lines[k], fixed = new, fixed + 1
                 break
     return "\n".join(lines), fixed
@@ -346,6 +350,7 @@ def _sound(raw: bytes, wrong: str, right: str) -> str | None:
     return new
 
 
+_WORD = re.compile(r"\S*\w\S*")
 _FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]{3}")
 
 
@@ -466,9 +471,9 @@ def repair(text: str) -> tuple[str, int, int]:
             inner, n, left = repair(plain)
             if n:
                 return inner, fixed + n, left
-    if _LOST_SIGNS.isdisjoint(text):
-        return text, fixed, 0
-    return text, fixed, sum(m.end() - m.start() for m in _LOST.finditer(text) if not _quoted(text, m.start(), m.end()))
+    left = [] if _LOST_SIGNS.isdisjoint(text) else list(_LOST.finditer(text))
+    left += _REMAINS.finditer(text)
+    return text, fixed, sum(m.end() - m.start() for m in left if not _quoted(text, m.start(), m.end()))
 
 
 def repaired(docs: DataFrame, text: str = "text") -> DataFrame:

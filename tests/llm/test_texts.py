@@ -152,6 +152,7 @@ def test_other_misreadings():
     assert encoding.repair("".join(chr(b) if b < 0x80 else table[b] for b in ja.encode("cp932")))[0] == ja
     assert encoding.repair("die Größe der Öffnung führt über".encode("cp1252").decode("koi8_r"))[0] == "die Größe der Öffnung führt über"
     assert encoding.repair("dise�o de la presi�n")[1:] == (0, 2)
+    assert encoding.repair("distance at ã®ãŸã‚ kept")[1:] == (0, 6)  # bytes were dropped
 
 
 @pytest.mark.parametrize("text", [*SOUND, "", "plain", "a < b &lt; c &amp; d", "Ã x = b, with Ã = [an ij ] and Â = Ã T", "├── t₁ ──┤ = 5 µs", "σ = √( ∫ f(ω) dω", "The test string “Ã©Ã¨” in table 2 is produced on purpose",
