@@ -30,8 +30,8 @@ from ..scratch import written
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Counted chunks that one task remembers.
 MEMO = 300_000
-#: Hash buckets into which the documents of one length are dealt before they are ranked.
-RANK_BUCKETS = 256
+#: Documents of one length are dealt into hash buckets before they are ranked: so many at least, and one for so many documents.
+RANK_BUCKETS, RANK_ROWS = 256, 1_000_000
 #: The dynamic program covers so many of the longest documents, and so many tokens at least.
 WINDOW_DOCUMENTS, WINDOW_TOKENS = 8, 1 << 16
 # Characters that Python's split() takes for white space and the tokenizer doesn't.
@@ -213,8 +213,9 @@ def select(counted: DataFrame, planned: DataFrame, seed: int = 0) -> DataFrame:
 
     # An express number of tasks, so that sources aren't folded into one.
     take = wanted.repartition(wanted.sparkSession.sparkContext.defaultParallelism, "key").groupBy("key").applyInPandas(one, "key string, tokens long, take long")
+    buckets = max(RANK_BUCKETS, -(-counted.count() // RANK_ROWS))
     h = F.xxhash64("doc_id", F.lit(seed))
-    dealt = counted.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(RANK_BUCKETS)))
+    dealt = counted.withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     by_bucket = dealt.groupBy("key", "tokens", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = by_bucket.withColumn("_before", F.sum("_n").over(W.partitionBy("key", "tokens").orderBy("_b")) - F.col("_n")).drop("_n")
     before = before.join(take, ["key", "tokens"]).where(F.col("_before") < F.col("take"))
