@@ -245,3 +245,38 @@ def test_runtime_bloom_filter_of_the_optimizer(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def _metric(df, node, name):
+    """A metric of the first plan node of a kind, after the frame was computed."""
+    def walk(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        if "QueryStage" in p.getClass().getSimpleName():
+            p = p.plan()
+        if p.getClass().getSimpleName() == node:
+            yield p.metrics().get(name).get().value()
+        for i in range(p.children().size()):
+            yield from walk(p.children().apply(i))
+
+    return next(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_joins_and_aggregates_spill_and_fall_back(spark):
+    """Beyond what memory is granted, a join's buffer goes to disk and a hash aggregate goes on as a sorting one; rows stay the same."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.sortMergeJoinExec.buffer.in.memory.threshold": "5", "spark.sql.sortMergeJoinExec.buffer.spill.threshold": "10", "spark.sql.TungstenAggregate.testFallbackStartsAt": "2,3",
+             "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "2"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        a, b = spark.range(60).selectExpr("id % 2 AS k", "id AS v"), spark.range(80).selectExpr("id % 2 AS k", "id AS w")
+        joined = a.hint("merge").join(b, "k")
+        assert len(joined.collect()) == 2 * 30 * 40 and _metric(joined, "SortMergeJoinExec", "spillSize") > 0
+        g = spark.range(0, 1000, 1, 2).selectExpr("id % 100 AS k", "id AS v").groupBy("k").agg(F.sum("v").alias("s"))
+        assert {(r.k, r.s) for r in g.collect()} == {(k, sum(range(k, 1000, 100))) for k in range(100)} and _metric(g, "HashAggregateExec", "numTasksFallBacked") > 0
+        c = spark.range(0, 1000, 1, 2).selectExpr("id % 100 AS k", "id AS v").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("l"))
+        assert {(r.k, tuple(r.l)) for r in c.collect()} == {(k, tuple(range(k, 1000, 100))) for k in range(100)}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
