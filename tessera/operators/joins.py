@@ -116,9 +116,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], by: str, rig
     order = [F.col("_at").asc_nulls_first(), "_side", F.col("_v")]
     w = W.partitionBy(*on, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    # The last right row of every stretch that has any, and with it what stood at the end of the stretches before.
-    last = both.where("_side = 0").groupBy(*on, "_chunk").agg(F.max(F.struct("_at", "_v"))["_v"].alias("_last"))
-    marks = last.unionByName(found.select(*on, "_chunk").distinct().withColumn("_last", none.cast(last.schema["_last"].dataType))).groupBy(*on, "_chunk").agg(F.max("_last").alias("_last"))
+    # The last right row of every stretch, and with it what stood at the end of the stretches before.
+    marks = both.groupBy(*on, "_chunk").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_v")))["_v"].alias("_last"))
     before = W.partitionBy(*on).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = marks.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], F.col("_chunk").alias("_of"), "_carried")
     cond = F.col("_chunk") == F.col("_of")
