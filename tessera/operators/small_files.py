@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from ..sources import parquet_blocks
+from ..sources.listing import listing
 from ..sources.paths import filesystem
 
 #: Name of the place of unpartitioned files (a fixed value of the format).
@@ -107,38 +108,6 @@ def plan(f: DataFrame, small: int = SMALL, target: int = TARGET, keys: Sequence[
     return assigned(f, keys, identity, small, target).where("output IS NOT NULL")
 
 
-def listing(spark: SparkSession, src: str) -> DataFrame:
-    """The Parquet files below a folder: partition (the folder, seen from ``src``), name and length. Folders are listed by tasks,
-    level by level, so neither names nor folders pass through the driver. Hidden names (as Spark takes them) are left out."""
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        where, base = filesystem(src)
-        for b in batches:
-            for folder in b["partition"]:
-                rows = []
-                for i in where.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))):
-                    n = i.base_name
-                    if n.startswith(".") or n.startswith("_") and "=" not in n:
-                        continue
-                    if i.type == fs.FileType.Directory:
-                        rows.append((folder, n, -1))
-                    elif n.endswith(".parquet"):
-                        rows.append((folder, n, i.size))
-                for k in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[k : k + 10_000], columns=["partition", "name", "length"])
-
-    tasks = spark.sparkContext.defaultParallelism
-    level, out = spark.createDataFrame([("",)], "partition string"), None
-    while True:
-        found = written(level.repartition(tasks).mapInPandas(go, "partition string, name string, length long"), "listing")
-        out = found if out is None else out.unionByName(found)
-        level = found.where("length < 0").select(F.ltrim(F.concat_ws("/", "partition", "name"), F.lit("/")).alias("partition"))
-        if level.isEmpty():
-            return out.where("length >= 0")
-
-
 def _join_group(src: str, out_dir: str, partition: str, output: int | None, small: list[tuple[str, int]]) -> list[dict]:
     """Write one output per signature of a group's files (name, length)."""
     from pyarrow import parquet as pq

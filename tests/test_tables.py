@@ -85,6 +85,44 @@ def test_delta_log(spark, tmp_path):
         delta_log.read(spark, path)
 
 
+def test_hudi_timeline(spark, tmp_path):
+    import json
+
+    from tessera.sources import hudi_timeline
+
+    root = tmp_path / "h"
+
+    def base(part, group, at, ids):
+        spark.createDataFrame([(at, i, f"{group}@{at}", part) for i in ids], "_hoodie_commit_time string, id int, v string, p string").coalesce(1).write.parquet(str(tmp_path / f"w-{part}-{group}-{at}"))
+        (root / part).mkdir(parents=True, exist_ok=True)
+        next((tmp_path / f"w-{part}-{group}-{at}").glob("*.parquet")).rename(root / part / f"{group}_0-1-2_{at}.parquet")
+
+    def commit(at, kind="commit", **content):
+        (root / ".hoodie" / f"{at}.{kind}").write_text(json.dumps(content))
+
+    (root / ".hoodie").mkdir(parents=True)
+    (root / ".hoodie" / "hoodie.properties").write_text("#x\nhoodie.table.type=COPY_ON_WRITE\nhoodie.table.version=6\n")
+    t = [f"2024010{k}000000000" for k in range(1, 7)]
+    base("p=1", "a_x", t[0], [1, 2])  # archived
+    base("p=2", "b", t[1], [3])
+    base("p=1", "a_x", t[2], [1, 2, 4])
+    base("p=2", "c", t[3], [9])  # not completed
+    base("p=2", "d", t[4], [3, 5])
+    commit(t[1])
+    commit(t[2])
+    commit(t[3], "commit.inflight")
+    commit(t[4], "replacecommit", partitionToReplaceFileIds={"p=2": ["b"]})
+    at = lambda instant=None: sorted((r.id, r.v) for r in hudi_timeline.read(spark, str(root), instant).collect())
+    assert at() == [(1, f"a_x@{t[2]}"), (2, f"a_x@{t[2]}"), (3, f"d@{t[4]}"), (4, f"a_x@{t[2]}"), (5, f"d@{t[4]}")]
+    assert at(t[1]) == [(1, f"a_x@{t[0]}"), (2, f"a_x@{t[0]}"), (3, f"b@{t[1]}")] and at(t[2])[-1] == (4, f"a_x@{t[2]}")
+    assert hudi_timeline.read(spark, str(root)).columns == ["id", "v", "p"]
+    with pytest.raises(FileNotFoundError):
+        at(t[3])
+    commit(t[5], "deltacommit")
+    with pytest.raises(hudi_timeline.Unsupported):
+        at()
+
+
 def test_data_source(spark, t):
     """The same rows as ``read``, as a batch scan that leaves out files by statistics."""
     from tessera.sources import table_source
