@@ -68,7 +68,9 @@ _RUN = re.compile("[^\x00-\x7f]{2,}|[\u2e80-\uffdc]")
 _USUAL = frozenset("のをはにがとでたしるいのれスンルト的是了在，이는다에의가을를은하고로")
 _LOST = re.compile("[\ufffd\x80-\x9f]+")
 # What is left of UTF-8 of which bytes were dropped: first bytes and signs of further ones, several times in a row.
-_REMAINS = re.compile("(?:[Â-ï][\xa0-¿€‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™›ŠŒŽšœžŸ]){2,}")
+_MORE = "\xa0-¿€‚ƒ„…†‡ˆ‰‹‘’“”•–—˜™›ŠŒŽšœžŸ"
+_REMAINS = re.compile(f"(?:[Â-ï][{_MORE}]){{2,}}")
+_HINT = re.compile(f"[{_MORE}](?<=[Â-ï].)(?=[Â-ï][{_MORE}])")  # the same from its second sign on, which is rarer than the first
 _LOST_SIGNS = frozenset(map(chr, [0xFFFD, *range(0x80, 0xA0)]))
 # Words that can't be sound: Latin and Cyrillic letters side by side, Greek letters or other signs between Latin ones, capitals
 # between small letters.
@@ -472,7 +474,8 @@ def repair(text: str) -> tuple[str, int, int]:
             if n:
                 return inner, fixed + n, left
     left = [] if _LOST_SIGNS.isdisjoint(text) else list(_LOST.finditer(text))
-    left += _REMAINS.finditer(text)
+    if _HINT.search(text):
+        left += _REMAINS.finditer(text)
     return text, fixed, sum(m.end() - m.start() for m in left if not _quoted(text, m.start(), m.end()))
 
 
