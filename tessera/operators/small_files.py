@@ -13,7 +13,6 @@ paths; empty tables and directories give no row.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator, Sequence
 
